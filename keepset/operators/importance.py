@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepset.functions.guards import double_features, required
-from keepset.functions.vectors import add_all, dot_columns, norm_columns, unit_columns
+from keepset.functions.vectors import add_all, dot_columns
+from keepset.operators.points import dims_of, feature_points, unit_points
 from keepset.operators.popularity import add_popularity
 
 # An id with more than 1/HOT_SHARE of the rows is joined by broadcast; there
@@ -85,18 +85,9 @@ def summed_importance(df: DataFrame, pop_col: str = "popularity", id_col: str =
 
 def _unit_rows(df: DataFrame, feature_cols: list[str], id_col: str, keep: list[str],
                on_null: str) -> tuple[DataFrame, list[str]]:
-    """(id, kept columns, v0 .. v{d-1}) and the names of the vector columns."""
-    cols = [c for c in feature_cols if c != id_col]
-    if not cols:
-        raise ValueError("no feature columns")
-    src, features = double_features(df, cols, on_null)
-    dims = [f"v{i}" for i in range(len(cols))]
-    named = src.select(required(src, id_col).alias("id"), *keep,
-                       *[f.alias(v) for f, v in zip(features, dims)])
-    raw = [F.col(v) for v in dims]
-    normed = named.select("*", norm_columns(raw).alias("_norm"))
-    units = unit_columns(raw, F.col("_norm"))
-    return normed.select("id", *keep, *[u.alias(v) for u, v in zip(units, dims)]), dims
+    """(id, kept columns, v0 ..) scaled to length 1, and the vector columns."""
+    rows = unit_points(feature_points(df, id_col, feature_cols, keep=keep, on_null=on_null))
+    return rows, dims_of(rows)
 
 
 def _by_id(rows: DataFrame, dims: list[str], *more: Column) -> DataFrame:
