@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepset.functions.guards import required
 from keepset.functions.vectors import add_all, dot_columns
 from keepset.operators.points import dims_of, feature_points, unit_points
-from keepset.operators.popularity import add_popularity
+from keepset.operators.popularity import popularity_parts
 
 # An id with more than 1/HOT_SHARE of the rows is joined by broadcast; there
 # are fewer than HOT_SHARE such ids whatever the data.
@@ -38,14 +39,16 @@ def importance(df: DataFrame, queries: DataFrame | list[dict], feature_cols: lis
                **popularity_options) -> DataFrame:
     """(id, avg_dissim, pop, importance), most important first, ties by id.
 
-    Popularity is counted per row on the way, so one aggregation by id gives
-    both factors and they need no join.
+    Both factors are sums by id, so they are taken in one aggregation of the
+    rows of both and need no join with each other.
     """
-    cols = [c for c in feature_cols if c != id_col]
-    keep = list(dict.fromkeys([id_col, *cols]))
-    counted = add_popularity(df, queries, keep, out="_pop", **popularity_options)
-    units, dims = _unit_rows(counted, cols, id_col, ["_pop"], on_null)
-    scored = _with_average(_by_id(units, dims, F.sum("_pop").alias("pop")), dims)
+    units, dims = _unit_rows(df, feature_cols, id_col, [], on_null)
+    hits = popularity_parts(df, queries, [id_col], **popularity_options)
+    hits = hits.select(required(hits, id_col).alias("id"), "pop")
+    both = units.withColumn("one", F.lit(1).cast("long")).unionByName(hits, allowMissingColumns=True)
+    by_id = both.groupBy("id").agg(
+        F.sum("one").alias("n"), *[F.sum(v).alias(f"sum_{v}") for v in dims], F.sum("pop").alias("pop"))
+    scored = _with_average(by_id, dims)
     scored = scored.select("id", "avg_dissim", "pop",
                            (F.col("pop") * F.col("avg_dissim")).alias("importance"))
     scored = scored.orderBy(F.desc("importance"), "id")

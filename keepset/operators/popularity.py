@@ -1,17 +1,15 @@
 """Popularity: how many workload queries select each row.
 
-The workload is a table, and the base table is never shuffled to match it. For
-every column that occurs in the workload, its queries are grouped by constant
-into a small lookup (constant -> number of queries, plus what is left to check
-for queries with more conditions). The base table passes through one broadcast
-left join per such column, so a row stays one row, a constant held by a third
-of the table costs no more than any other, and a row no query selects keeps
-popularity 0.
+The workload is a table, and matching it is one join: each base row is laid out
+as one key per condition column, the keys are looked up in the broadcast
+workload, and what is found is added up by id. The base table is not shuffled
+for that, so a constant held by a third of its rows is no heavier than another,
+and only sums by id leave a partition.
 
 A query with several AND conditions is looked up by its *anchor*, the
-condition fewest base rows meet; the others are checked on the rows that meet
-the anchor. An OR query is looked up by each condition and counted at the
-first one that holds.
+condition fewest base rows meet; its other conditions are part of the join
+condition and are checked before a joined row exists. An OR query is looked up
+by each of its conditions and counted at the first one that holds.
 
 What is broadcast is the workload, and it is measured first: beyond
 ``MAX_BROADCAST_CONDITIONS`` conditions it is cut by query into slices below
@@ -32,46 +30,35 @@ from keepset.operators.columns import INTEGRAL
 from keepset.operators.workload import workload_from_dicts
 from keepset.session import materialize
 
-# About 100 bytes per condition: 20 MB of lookups at most.
+# About 100 bytes per condition: 20 MB at most in one broadcast.
 MAX_BROADCAST_CONDITIONS = 200_000
-# Slices matched in one job before the running count is written out.
+# Slices matched in one job before the sums so far are written out.
 SLICES_PER_JOB = 4
-# Up to here a sum of CASE terms is faster than building lookups.
+# Up to here a sum of CASE terms is faster than a join.
 MAX_CASE_CONDITIONS = 64
 EMPTY_QUERY = ("none", "all")
 
 
-@dataclass(frozen=True)
-class _ConditionColumn:
-    name: str       # column of the base table
-    place: int      # its position in the row array the residual checks read
-    integral: bool
-    has_null: bool  # some constant for it is null
-
-
-@dataclass(frozen=True)
-class _Shape:
-    single: bool     # no query has more than one condition
-    has_and: bool    # some AND query has more than one
-    has_null: bool   # some constant is null
-    null_safe: bool
-
-
 def popularity(df: DataFrame, queries: DataFrame | list[dict], id_col: str = "Unique_ID",
                **options) -> DataFrame:
     """(id, pop): per id, how many queries select its rows, summed over them.
 
-    Only the final sum by id shuffles, after partial sums on each partition.
+    ``null_safe``: a null constant selects the rows that hold a null there;
+    otherwise it selects nothing. ``empty_query``: whether a query without
+    conditions selects ``"none"`` or ``"all"`` of the rows.
     """
-    rows = row_popularity(df, queries, id_col, **options)
-    return rows.groupBy("id").agg(F.sum("pop").alias("pop"))
+    found = popularity_parts(df, queries, [id_col], **options)
+    by_id = found.groupBy(required(found, id_col).alias("id"))
+    return by_id.agg(F.sum("pop").alias("pop"))
 
 
 def row_popularity(df: DataFrame, queries: DataFrame | list[dict], id_col: str = "Unique_ID",
                    **options) -> DataFrame:
-    """(id, pop) with one row per input row; options as in ``add_popularity``."""
-    counted = add_popularity(df, queries, keep=[id_col], **options)
-    return counted.select(required(counted, id_col).alias("id"), "pop")
+    """(id, pop) with one row per input row."""
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    found = popularity_parts(numbered, queries, ["_row", id_col], **options)
+    by_row = found.groupBy("_row", required(found, id_col).alias("id"))
+    return by_row.agg(F.sum("pop").alias("pop")).select("id", "pop")
 
 
 def popularity_in_batches(df: DataFrame, batches: list[DataFrame] | list[list[dict]],
@@ -99,55 +86,129 @@ def ranked(pop: DataFrame) -> DataFrame:
     return pop.orderBy(F.desc("pop"), "id")
 
 
-def add_popularity(df: DataFrame, queries: DataFrame | list[dict], keep: list[str] | None = None, *,
-                   out: str = "pop", null_safe: bool = False, empty_query: str = "none",
-                   max_case: int = MAX_CASE_CONDITIONS,
-                   max_broadcast: int = MAX_BROADCAST_CONDITIONS) -> DataFrame:
-    """The table (or its ``keep`` columns) with each row's popularity in ``out``.
+# -- matching --------------------------------------------------------------
 
-    ``null_safe``: a null constant selects the rows that hold a null there;
-    otherwise it selects nothing. ``empty_query``: whether a query without
-    conditions selects ``"none"`` or ``"all"`` of the rows.
+@dataclass(frozen=True)
+class _Layout:
+    """How a base row is laid out as keys: place i holds condition column i.
+
+    A key is the value with the place in its low bits. Constants too large for
+    that (``wide``) make the keys (place, value) pairs instead.
     """
+    names: list[str]
+    integral: list[bool]
+    null_safe: bool
+    wide: bool
+
+    @property
+    def bits(self) -> int:
+        return len(self.names).bit_length()
+
+    @property
+    def limit(self) -> int:
+        return largest_constant(len(self.names))
+
+    @property
+    def always(self) -> Column:
+        """A key every row has, so that no row is lost in the join."""
+        place = F.lit(len(self.names))
+        return F.struct(place.alias("place"), F.lit(0).cast("long").alias("x")) if self.wide \
+            else place.cast("long")
+
+    def key(self, place: Column, x: Column) -> Column:
+        """The key of a long; null for null unless nulls are to match."""
+        if self.wide:
+            pair = F.struct(place.cast("int").alias("place"), x.alias("x"))
+            return pair if self.null_safe else F.when(x.isNotNull(), pair)
+        packed = F.shiftleft(x, self.bits).bitwiseOR(place.cast("long"))
+        if self.null_safe:
+            null = F.shiftleft(F.lit(self.limit + 1).cast("long"), self.bits).bitwiseOR(place.cast("long"))
+            return F.coalesce(packed, null)
+        return packed
+
+    def cells(self, df: DataFrame) -> Column:
+        """All keys of a base row, in place order, the common one last."""
+        keys = []
+        for i, (name, integral) in enumerate(zip(self.names, self.integral)):
+            kind, x = df.schema[name].dataType, F.col(name)
+            if integral:
+                value = x.cast("long")
+                in_range = value.between(-self.limit, self.limit)
+                safe = self.wide or not isinstance(kind, T.LongType)
+            else:
+                # no constant equals a fraction, a NaN or an infinity
+                value, real = x.try_cast("long"), x.cast("double")
+                in_range = (real == F.floor(real)) & (F.abs(real) <= float(self.limit))
+                safe = False
+            key = self.key(F.lit(i), value)
+            if not safe:
+                # out of range is not null: it matches nothing, null-safe or not
+                key = F.when(x.isNull() | in_range, key) if self.null_safe else F.when(in_range, key)
+            keys.append(key)
+        return F.array(*keys, self.always)
+
+
+def largest_constant(n_columns: int) -> int:
+    """Largest constant a packed key can hold beside the place bits."""
+    return 2 ** (63 - n_columns.bit_length()) - 2
+
+
+def popularity_parts(df: DataFrame, queries: DataFrame | list[dict], keep: list[str], *,
+                     null_safe: bool = False, empty_query: str = "none",
+                     max_case: int = MAX_CASE_CONDITIONS,
+                     max_broadcast: int = MAX_BROADCAST_CONDITIONS) -> DataFrame:
+    """(keep .., pop): every base row at least once, with parts of its
+    popularity; summing ``pop`` by the kept columns gives the whole."""
     if empty_query not in EMPTY_QUERY:
         raise ValueError(f"empty_query must be one of {EMPTY_QUERY}, not {empty_query!r}")
-    keep = list(df.columns if keep is None else keep)
     if isinstance(queries, list):
         workload = workload_from_dicts(df.sparkSession, queries)
     else:
         workload = materialize(queries)
 
     seen = workload.groupBy("col").agg(
-        F.count("*").alias("n"), F.max(F.col("val").isNull()).alias("has_null"),
-        F.max("n_conds").alias("n_conds"),
+        F.count("*").alias("n"), F.max("n_conds").alias("n_conds"),
+        F.max(F.col("val").isNull()).alias("has_null"), F.min("val").alias("low"), F.max("val").alias("high"),
         F.max((F.col("connector") == "AND") & (F.col("n_conds") > 1)).alias("has_and"),
     ).collect()  # one row per column
     n_empty = sum(r["n"] for r in seen if r["col"] is None)
+    at_start = n_empty if empty_query == "all" else 0
     seen = sorted((r for r in seen if r["col"] is not None), key=lambda r: r["col"])
-    start = F.lit(n_empty if empty_query == "all" else 0).cast("long")
-    if not seen:
-        return df.select(*keep, start.alias(out))
-
-    columns = [_condition_column(df, r["col"], i, r["has_null"]) for i, r in enumerate(seen)]
+    kinds = {r["col"]: df.schema[r["col"]].dataType for r in seen}
+    for name, kind in kinds.items():
+        if not isinstance(kind, T.NumericType):
+            raise TypeError(f"condition column {name!r} is {kind.simpleString()}, not numeric")
     total = sum(r["n"] for r in seen)
     if total <= max_case:
-        return df.select(*keep, (start + _case_sum(workload, null_safe)).alias(out))
+        start = F.lit(at_start).cast("long")
+        return df.select(*keep, (start + _case_sum(workload, null_safe) if total else start).alias("pop"))
+
+    bound = largest_constant(len(seen))
+    layout = _Layout(
+        names=list(kinds), integral=[isinstance(k, INTEGRAL) for k in kinds.values()], null_safe=null_safe,
+        wide=any(max(abs(r["low"] or 0), abs(r["high"] or 0)) > bound for r in seen))
+    shape = _Shape(longest=max(r["n_conds"] for r in seen), has_and=any(r["has_and"] for r in seen),
+                   has_null=any(r["has_null"] for r in seen))
 
-    shape = _Shape(single=all(r["n_conds"] == 1 for r in seen),
-                   has_and=any(r["has_and"] for r in seen),
-                   has_null=any(r["has_null"] for r in seen), null_safe=null_safe)
     n_slices = -(-total // max_broadcast)
-    needed = list(dict.fromkeys(keep + [c.name for c in columns]))
-    rows = df.select(*needed, start.alias(out))
+    done: DataFrame | None = None
     for i in range(n_slices):
         part = workload
         if n_slices > 1:
             part = workload.where(F.pmod(F.xxhash64("query_id"), F.lit(n_slices)) == i)
-        lookups = materialize(_lookups(part, columns, df, shape))
-        rows = _match(rows, lookups, columns, out, shape)
+        lookup = materialize(_lookup(part, layout, df, shape, at_start if i == 0 else 0))
+        found = _matches(df, lookup, layout, keep)
+        done = found if done is None else done.unionByName(found)
         if (i + 1) % SLICES_PER_JOB == 0 and i + 1 < n_slices:
-            rows = materialize(rows)
-    return rows.select(*keep, out)
+            done = materialize(done.groupBy(*keep).agg(F.sum("pop").alias("pop")))
+    return done
+
+
+@dataclass(frozen=True)
+class _Shape:
+    longest: int     # conditions of the longest query
+    has_and: bool    # some AND query has more than one
+    has_null: bool   # some constant is null
 
 
 def _case_sum(workload: DataFrame, null_safe: bool) -> Column:
@@ -164,123 +225,65 @@ def _case_sum(workload: DataFrame, null_safe: bool) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _condition_column(df: DataFrame, name: str, place: int, has_null: bool) -> _ConditionColumn:
-    kind = df.schema[name].dataType
-    if not isinstance(kind, T.NumericType):
-        raise TypeError(f"condition column {name!r} is {kind.simpleString()}, not numeric")
-    return _ConditionColumn(name, place, isinstance(kind, INTEGRAL), has_null)
-
-
-def _lookups(workload: DataFrame, columns: list[_ConditionColumn], base: DataFrame,
-             shape: _Shape) -> DataFrame:
-    """(place, val, n, checks): what a base row holding ``val`` in that column
-    gains at once, and the checks that may gain it more.
-
-    Equal queries are folded into one check with a multiplicity.
-    """
-    places = F.create_map(*[x for c in columns for x in (F.lit(c.name), F.lit(c.place))])
+def _matches(df: DataFrame, lookup: DataFrame, layout: _Layout, keep: list[str]) -> DataFrame:
+    """The lookup joined to the base rows: one broadcast join for all queries,
+    the remaining conditions of a query checked inside it."""
+    laid_out = df.select(*keep, layout.cells(df).alias("_row"))
+    cells = laid_out.select("*", F.explode_outer("_row").alias("_key"))
+    on = F.col("_key") == F.col("key")
+    for c in lookup.columns:
+        if c.startswith("place"):
+            same = F.get("_row", F.col(c)).eqNullSafe(F.col(c.replace("place", "key")))
+            on = on & (F.col(c).isNull() | (same == F.col("want")))
+    return cells.join(F.broadcast(lookup), on).select(*keep, F.col("times").alias("pop"))
+
+
+def _lookup(workload: DataFrame, layout: _Layout, base: DataFrame, shape: _Shape, at_start: int) -> DataFrame:
+    """(key, times, want, place1, key1, ..): a base row that has ``key`` gains
+    ``times``, provided that each further key is (``want``) or is not in its
+    place. Equal queries are folded into one line."""
+    places = F.create_map(*[x for i, name in enumerate(layout.names) for x in (F.lit(name), F.lit(i))])
     conds = workload.where("n_conds > 0").withColumn("place", places[F.col("col")])
-    if shape.single:
-        if not shape.null_safe:
-            conds = conds.where(F.col("val").isNotNull())
-        return conds.groupBy("place", "val").agg(F.count("*").alias("n"))
-    if shape.has_null and not shape.null_safe:
+    if shape.has_null and not layout.null_safe:
         # a null constant never holds: its AND query is dead, its OR term drops out
         known = conds.groupBy("query_id").agg(F.min(F.col("val").isNotNull()).alias("known"))
         conds = (conds.join(known, "query_id").where(F.col("known") | (F.col("connector") == "OR"))
                  .where(F.col("val").isNotNull()))
+    conds = conds.select("query_id", "connector", "cond_no", "place",
+                         layout.key(F.col("place"), F.col("val")).alias("key"))
+    times = F.count("*").alias("times")
+    spark = workload.sparkSession
+    always = spark.range(1).select(layout.always.alias("key"), F.lit(at_start).cast("long").alias("times"))
+    if shape.longest == 1:
+        return conds.groupBy("key").agg(times).unionByName(always)
+
     if shape.has_and:
-        conds = conds.join(F.broadcast(_frequencies(base, conds, columns)), ["place", "val"], "left")
+        conds = conds.join(F.broadcast(_frequencies(base, conds, layout)), "key", "left")
     else:
         conds = conds.withColumn("freq", F.lit(0).cast("long"))
-
     per_query = conds.groupBy("query_id", "connector").agg(
         F.sort_array(F.collect_list(F.struct(
-            F.coalesce("freq", F.lit(0)).alias("freq"), "cond_no", "place", "val"))).alias("conds"))
-
-    def residual(conds: Column, want: Column) -> Column:
-        # order by column so that equal queries come out as equal arrays
-        return F.array_sort(F.transform(conds, lambda c: F.struct(
-            c["place"].alias("place"), c["val"].alias("val"), want.alias("want"))))
+            F.coalesce("freq", F.lit(0)).alias("freq"), "cond_no", "place", "key"))).alias("conds"))
 
     # an AND query goes to its rarest condition, the others must hold; an OR
     # query goes to every condition, no earlier one may hold
     is_and = F.col("connector") == "AND"
     last = F.when(is_and, F.lit(0)).otherwise(F.size("conds") - 1)
-    anchored = per_query.select(
-        "connector", "conds", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    rest = F.when(is_and, F.slice("conds", F.lit(2), F.size("conds"))).otherwise(
+    anchored = per_query.select(is_and.alias("want"), "conds", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    rest = F.when(F.col("want"), F.slice("conds", F.lit(2), F.size("conds"))).otherwise(
         F.slice("conds", F.lit(1), F.col("at")))
-    anchored = anchored.select(F.get("conds", F.col("at")).alias("anchor"),
-                               residual(rest, is_and).alias("rest"))
-
-    folded = (anchored
-              .groupBy(F.col("anchor.place").alias("place"), F.col("anchor.val").alias("val"), "rest")
-              .agg(F.count("*").alias("times")))
-    checked = F.size("rest") > 0
-    return folded.groupBy("place", "val").agg(
-        F.sum(F.when(~checked, F.col("times")).otherwise(0)).alias("n"),
-        F.collect_list(F.when(checked, F.struct("rest", "times"))).alias("checks"))
-
-
-def _frequencies(base: DataFrame, conds: DataFrame, columns: list[_ConditionColumn]) -> DataFrame:
-    """(place, val, freq): how many base rows hold each constant.
-
-    One pass over the condition columns; only rows holding some constant leave
-    the broadcast join, and they are counted on each partition first. The
-    counts only choose anchors, so comparing as doubles is close enough.
-    """
-    keys = conds.where(F.col("val").isNotNull()).select("place", "val").distinct()
-    cells = base.select(F.explode(F.array(*[
-        F.struct(F.lit(c.place).alias("place"), F.col(c.name).cast("double").alias("x"))
-        for c in columns])).alias("cell")).select("cell.*")
-    keys = F.broadcast(keys.withColumn("x", F.col("val").cast("double")))
-    return cells.join(keys, ["place", "x"]).groupBy("place", "val").agg(F.count("*").alias("freq"))
-
-
-def _match(rows: DataFrame, lookups: DataFrame, columns: list[_ConditionColumn], out: str,
-           shape: _Shape) -> DataFrame:
-    """Add to ``out`` what the lookups give each row."""
-    kept = rows.columns
-    # the row as an array, for the residual checks; built below the joins so
-    # that it is built once per row
-    exact, real = [c for c in columns if c.integral], [c for c in columns if not c.integral]
-    cells = {}
-    if exact:
-        cells["_exact"] = F.array(*[
-            F.col(c.name).cast("long") if c.integral else F.lit(None).cast("long") for c in columns])
-    if real:
-        cells["_real"] = F.array(*[
-            F.lit(None).cast("double") if c.integral else F.col(c.name).cast("double") for c in columns])
-    integral = F.array(*[F.lit(c.integral) for c in columns])
-    if not shape.single:
-        rows = rows.select(*kept, *[a.alias(n) for n, a in cells.items()])
-
-    for c in columns:
-        kind = "long" if c.integral else "double"
-        side = lookups.where(F.col("place") == c.place).select(
-            F.col("val").cast(kind).alias(f"_val{c.place}"), F.col("n").alias(f"_n{c.place}"),
-            *([] if shape.single else [F.col("checks").alias(f"_checks{c.place}")]))
-        left, right = F.col(c.name).cast(kind), F.col(f"_val{c.place}")
-        on = left.eqNullSafe(right) if shape.null_safe and c.has_null else left == right
-        rows = rows.join(F.broadcast(side), on, "left")
-
-    def holds(r: Column) -> Column:
-        if not real:
-            same = F.get("_exact", r["place"]).eqNullSafe(r["val"])
-        elif not exact:
-            same = F.get("_real", r["place"]).eqNullSafe(r["val"].cast("double"))
-        else:
-            same = F.when(F.get(integral, r["place"]), F.get("_exact", r["place"]).eqNullSafe(r["val"])) \
-                .otherwise(F.get("_real", r["place"]).eqNullSafe(r["val"].cast("double")))
-        return same == r["want"]
-
-    zero = F.lit(0).cast("long")
-    gains = [F.coalesce(F.col(f"_n{c.place}"), zero) for c in columns]
-    if not shape.single:
-        gains += [F.coalesce(F.aggregate(
-            f"_checks{c.place}", zero,
-            lambda acc, q: acc + F.when(F.forall(q["rest"], holds), q["times"]).otherwise(zero)), zero)
-            for c in columns]
-    pop = reduce(lambda a, b: a + b, gains, F.col(out))
-    return rows.select(*[k for k in kept if k != out], pop.alias(out)).select(*kept)
+    # in place order, so that equal queries come out as equal lines
+    rest = F.array_sort(F.transform(rest, lambda c: F.struct(c["place"].alias("place"), c["key"].alias("key"))))
+    folded = (anchored.select(F.get("conds", F.col("at"))["key"].alias("key"), "want", rest.alias("rest"))
+              .groupBy("key", "want", "rest").agg(times))
+    further = [F.get("rest", F.lit(j))[part].alias(f"{part}{j + 1}")
+               for j in range(shape.longest - 1) for part in ("place", "key")]
+    return folded.select("key", "times", "want", *further).unionByName(always, allowMissingColumns=True)
+
+
+def _frequencies(base: DataFrame, conds: DataFrame, layout: _Layout) -> DataFrame:
+    """(key, freq): how many base rows have each key of the workload. Only
+    those keys leave the join, and they are counted on each partition first."""
+    keys = conds.select("key").distinct()
+    cells = base.select(F.explode_outer(layout.cells(base)).alias("key"))
+    return cells.join(F.broadcast(keys), "key").groupBy("key").agg(F.count("*").alias("freq"))
