@@ -54,10 +54,11 @@ def popularity(df: DataFrame, queries: DataFrame | list[dict], id_col: str = "Un
 
 def row_popularity(df: DataFrame, queries: DataFrame | list[dict], id_col: str = "Unique_ID",
                    **options) -> DataFrame:
-    """(id, pop) with one row per input row."""
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    found = popularity_parts(numbered, queries, ["_row", id_col], **options)
-    by_row = found.groupBy("_row", required(found, id_col).alias("id"))
+    """(id, pop) with one row per input row. The parts of a row are made in one
+    partition, so the sum by row number is complete before it is shuffled."""
+    numbered = df.withColumn("_row_no", F.monotonically_increasing_id())
+    found = popularity_parts(numbered, queries, ["_row_no", id_col], **options)
+    by_row = found.groupBy("_row_no", required(found, id_col).alias("id"))
     return by_row.agg(F.sum("pop").alias("pop")).select("id", "pop")
 
 
