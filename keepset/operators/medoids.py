@@ -214,7 +214,8 @@ def pam_round(points: DataFrame, medoids: Medoids) -> Medoids:
     """Assign every point, then move each medoid to its cluster's best member.
 
     A cluster that lost all its members to an equal medoid restarts from the
-    point farthest from the others.
+    point farthest from the others. Medoids are rows: where an id repeats, two
+    of its rows may be the best of two clusters.
     """
     dims = dims_of(points)
     found = medoid_update(points, medoids)
