@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from keepset.operators import clara, importance, kcenter, medoids, popularity, stats, workload
+from keepset.session import recommended
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
@@ -23,7 +25,7 @@ WIDE = 55
 
 
 def main() -> None:
-    spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("keepset-bench")
+    spark = (recommended(SparkSession.builder.master(f"local[{CPUS}]")).appName("keepset-bench")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "16g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -70,8 +72,11 @@ def main() -> None:
     }
     pop(lineitem.limit(1000), line_stats, 70, 2)  # warm up
 
+    only = sys.argv[1:]
     seconds = {}
     for name, run in runs.items():
+        if only and name not in only:
+            continue
         began = time.perf_counter()
         run()
         seconds[name] = round(time.perf_counter() - began, 3)

@@ -18,21 +18,26 @@ def required(df: DataFrame, name: str, as_type: str | None = None) -> Column:
     return F.coalesce(F.col(name).cast(kind), fail)
 
 
-def double_features(df: DataFrame, cols: list[str], on_null: str = "error",
-                    cast: bool = True) -> tuple[DataFrame, list[Column]]:
-    """Feature expressions as doubles and the table they are read from.
-
-    ``on_null="error"`` fails the job at the first null feature, ``"drop"``
-    leaves such rows out before anything is computed from them. With
-    ``cast=False`` only columns that are numeric already are taken.
-    """
+def check_features(df: DataFrame, cols: list[str], on_null: str, cast: bool) -> DataFrame:
+    """The table the features are to be read from: without its rows that hold
+    a null feature when ``on_null="drop"``. With ``cast=False`` only columns
+    that are numeric already are taken."""
     if on_null not in ON_NULL:
         raise ValueError(f"on_null must be one of {ON_NULL}, not {on_null!r}")
     if not cast:
         text = [c for c in cols if not isinstance(df.schema[c].dataType, T.NumericType)]
         if text:
             raise TypeError(f"not numeric and cast=False: {text}")
+    if on_null == "error":
+        return df
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols], F.lit(True)))
+
+
+def double_features(df: DataFrame, cols: list[str], on_null: str = "error",
+                    cast: bool = True) -> tuple[DataFrame, list[Column]]:
+    """Feature expressions as doubles and the table they are read from; with
+    ``on_null="error"`` the job fails at the first null feature."""
+    src = check_features(df, cols, on_null, cast)
     if on_null == "drop":
-        keep = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols], F.lit(True))
-        return df.where(keep), [F.col(c).cast("double") for c in cols]
-    return df, [required(df, c, "double") for c in cols]
+        return src, [F.col(c).cast("double") for c in cols]
+    return src, [required(df, c, "double") for c in cols]

@@ -31,10 +31,9 @@ def dot_columns(a: list[Column], b: list[Column]) -> Column:
     return add_all([x * y for x, y in zip(a, b, strict=True)])
 
 
-def unit_columns(cols: list[Column], norm: Column) -> list[Column]:
-    """Components over the norm; a zero vector stays zero."""
-    safe = F.when(norm == 0, F.lit(ZERO_NORM)).otherwise(norm)
-    return [c / safe for c in cols]
+def nonzero_norm(norm: Column) -> Column:
+    """The norm to divide by; a zero vector stays zero under it."""
+    return F.when(norm == 0, F.lit(ZERO_NORM)).otherwise(norm)
 
 
 def norm_columns(cols: list[Column]) -> Column:
@@ -58,8 +57,7 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    norm = l2_norm(v)
-    safe = F.when(norm == 0, F.lit(ZERO_NORM)).otherwise(norm)
+    safe = nonzero_norm(l2_norm(v))
     return F.transform(v, lambda x: x / safe)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepset.functions.guards import required
-from keepset.functions.vectors import add_all, dot_columns
+from keepset.functions.vectors import dot, dot_columns
 from keepset.operators.points import dims_of, feature_points, unit_points
 from keepset.operators.popularity import popularity_parts
 
@@ -70,18 +70,16 @@ def summed_importance(df: DataFrame, pop_col: str = "popularity", id_col: str =
     by_id = _by_id(
         rows, dims, F.sum(weight).alias("weight"),
         *[F.sum(weight * F.col(v)).alias(f"weighted_{v}") for v in dims])
-    by_id = _with_totals(by_id, dims)
+    by_id = _with_rest(by_id, dims)
 
     # mean of the importances over all rows, from the sums by id alone
-    rest = [F.col(f"all_{v}") - F.col(f"sum_{v}") for v in dims]
-    of_id = F.col("weight") * (F.col("all_n") - F.col("n")) - dot_columns(
-        [F.col(f"weighted_{v}") for v in dims], rest)
+    weighted = F.array(*[F.col(f"weighted_{v}") for v in dims])
+    of_id = F.col("weight") * (F.col("all_n") - F.col("n")) - dot(weighted, F.col("rest"))
     set_importance = by_id.agg((F.sum(of_id) / F.max("all_n")).alias("mean")).scalar()
 
-    lookup = by_id.select("id", "n", "all_n", *[r.alias(f"rest_{v}") for v, r in zip(dims, rest)])
-    joined = _join_by_id(rows, lookup)
-    summed = (F.col("all_n") - F.col("n")) - dot_columns(
-        [F.col(v) for v in dims], [F.col(f"rest_{v}") for v in dims])
+    joined = _join_by_id(rows, by_id.select("id", "n", "all_n", "rest"))
+    similar = dot_columns([F.col(v) for v in dims], [F.get("rest", F.lit(i)) for i in range(len(dims))])
+    summed = (F.col("all_n") - F.col("n")) - similar
     return joined.select("id", (weight * summed).alias("importance"),
                          set_importance.alias("set_importance"))
 
@@ -98,25 +96,25 @@ def _by_id(rows: DataFrame, dims: list[str], *more: Column) -> DataFrame:
         F.count("*").alias("n"), *[F.sum(v).alias(f"sum_{v}") for v in dims], *more)
 
 
-def _with_totals(by_id: DataFrame, dims: list[str]) -> DataFrame:
-    """The table by id with the totals over all ids beside each row."""
+def _with_rest(by_id: DataFrame, dims: list[str]) -> DataFrame:
+    """The table by id with N as ``all_n`` and, as an array ``rest``, the sum
+    of the vectors of all other ids."""
     # every column is summed, so that this reads the same exchange as the rows
     # it is put beside, instead of aggregating the table a second time
     totals = by_id.agg(*[F.sum(c).alias(c) for c in by_id.columns if c != "id"])
-    totals = totals.select(F.struct("*").alias("t")).scalar()
+    all_v = F.array(*[f"sum_{v}" for v in dims])
+    totals = totals.select(F.struct(all_v.alias("v"), *totals.columns).alias("t")).scalar()
     beside = by_id.withColumn("_all", totals)
-    return beside.select(
-        *by_id.columns, F.col("_all.n").alias("all_n"),
-        *[F.col(f"_all.sum_{v}").alias(f"all_{v}") for v in dims])
+    own = F.array(*[F.col(f"sum_{v}") for v in dims])
+    return beside.select(*by_id.columns, F.col("_all.n").alias("all_n"),
+                         F.zip_with("_all.v", own, lambda a, o: a - o).alias("rest"))
 
 
 def _with_average(by_id: DataFrame, dims: list[str]) -> DataFrame:
-    t = _with_totals(by_id, dims)
-    own = [F.col(f"sum_{v}") for v in dims]
-    other = [F.col(f"all_{v}") - F.col(f"sum_{v}") for v in dims]
+    beside = _with_rest(by_id, dims).where("all_n > n")
     pairs = F.col("n").cast("double") * (F.col("all_n") - F.col("n")).cast("double")
-    avg = F.lit(1.0) - add_all([a * b for a, b in zip(own, other)]) / pairs
-    return t.where(F.col("all_n") > F.col("n")).withColumn("avg_dissim", avg)
+    own = F.array(*[F.col(f"sum_{v}") for v in dims])
+    return beside.withColumn("avg_dissim", F.lit(1.0) - dot(own, F.col("rest")) / pairs)
 
 
 def _join_by_id(rows: DataFrame, lookup: DataFrame) -> DataFrame:

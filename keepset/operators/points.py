@@ -7,8 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepset.functions.guards import double_features, required
-from keepset.functions.vectors import norm_columns, unit_columns
+from keepset.functions.guards import check_features, required
+from keepset.functions.vectors import nonzero_norm, norm_columns
 
 
 def dims_of(points: DataFrame) -> list[str]:
@@ -19,24 +19,28 @@ def dims_of(points: DataFrame) -> list[str]:
 
 def feature_points(df: DataFrame, id_col: str, cols: list[str], *, keep: list[str] | None = None,
                    on_null: str = "error", cast: bool = True) -> DataFrame:
-    """(id, kept columns, v0 ..): the feature columns as doubles."""
+    """(id, kept columns, v0 ..): the feature columns as doubles. Null features
+    are left to ``unit_points`` and ``pca_points`` to reject, once per row."""
     cols = [c for c in cols if c != id_col]
     if not cols:
         raise ValueError("no feature columns")
-    src, features = double_features(df, cols, on_null, cast)
+    src = check_features(df, cols, on_null, cast)
     return src.select(required(src, id_col).alias("id"), *(keep or []),
-                      *[f.alias(f"v{i}") for i, f in enumerate(features)])
+                      *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
 
 
 def unit_points(points: DataFrame, drop_zero: bool = False) -> DataFrame:
-    """The points scaled to length 1; zero vectors stay zero, or are dropped."""
+    """The points scaled to length 1; zero vectors stay zero, or are dropped.
+    A null feature makes the norm null and fails the job."""
     dims = dims_of(points)
     raw = [F.col(v) for v in dims]
-    normed = points.withColumn("_norm", norm_columns(raw))
+    fail = F.raise_error(F.lit("null in a feature column")).cast("double")
+    normed = points.withColumn("_norm", F.coalesce(norm_columns(raw), fail))
     if drop_zero:
         normed = normed.where(F.col("_norm") > 0)
+    normed = normed.withColumn("_norm", nonzero_norm(F.col("_norm")))
     others = [c for c in points.columns if c not in dims]
-    return normed.select(*others, *[u.alias(v) for u, v in zip(unit_columns(raw, F.col("_norm")), dims)])
+    return normed.select(*others, *[(F.col(v) / F.col("_norm")).alias(v) for v in dims])
 
 
 def pca_points(points: DataFrame, k: int) -> DataFrame:

@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from keepset.session import recommended
+
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[8]").appName("keepset-tests")
+    session = (recommended(SparkSession.builder).master("local[8]").appName("keepset-tests")
                .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

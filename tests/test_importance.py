@@ -80,7 +80,7 @@ def test_edge_tables(spark):
     assert imp.average_dissimilarity(table([(1, 3., 4.), (1, 4., 3.)]), ["x", "y"], "id").count() == 0
     assert imp.importance(table([]), [{"x": 1}], ["x", "y"], "id").count() == 0
     null = table([(1, 3., None), (2, 1., 1.), (3, 1., 0.)])
-    with pytest.raises(PySparkException, match="null in column 'y'"):
+    with pytest.raises(PySparkException, match="null in a feature column"):
         imp.average_dissimilarity(null, ["x", "y"], "id").collect()
     kept = imp.importance(null, [{"x": 1}], ["x", "y"], "id", on_null="drop").collect()
     assert sorted((r["id"], r["pop"]) for r in kept) == [(2, 1), (3, 1)]

@@ -140,7 +140,7 @@ def test_argument_guards(spark, seven):
     with pytest.raises(ValueError):
         M.pam_medoids(seven, "id", XY, 7)  # the zero row takes no part
     null = spark.createDataFrame([(1, 3., None), (2, 1., 1.)], "id int, x double, y double")
-    with pytest.raises(PySparkException, match="null in column"):
+    with pytest.raises(PySparkException, match="null in a feature column"):
         M.pam_medoids(null, "id", XY, 1)
     assert [r["id"] for r in M.pam_medoids(null, "id", XY, 1, on_null="drop").collect()] == [2]
     with pytest.raises(TypeError):
