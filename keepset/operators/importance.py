@@ -16,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepset.functions.guards import required
 from keepset.functions.vectors import dot, dot_columns
 from keepset.operators.points import dims_of, feature_points, unit_points
-from keepset.operators.popularity import popularity_parts
+from keepset.operators.popularity import popularity
 
 # An id with more than 1/HOT_SHARE of the rows is joined by broadcast; there
 # are fewer than HOT_SHARE such ids whatever the data.
@@ -39,16 +38,11 @@ def importance(df: DataFrame, queries: DataFrame | list[dict], feature_cols: lis
                **popularity_options) -> DataFrame:
     """(id, avg_dissim, pop, importance), most important first, ties by id.
 
-    Both factors are sums by id, so they are taken in one aggregation of the
-    rows of both and need no join with each other.
+    Both factors are partitioned by id after their sums, so joining them moves
+    nothing more, and each side has one row per id whatever the skew.
     """
-    units, dims = _unit_rows(df, feature_cols, id_col, [], on_null)
-    hits = popularity_parts(df, queries, [id_col], **popularity_options)
-    hits = hits.select(required(hits, id_col).alias("id"), "pop")
-    both = units.withColumn("one", F.lit(1).cast("long")).unionByName(hits, allowMissingColumns=True)
-    by_id = both.groupBy("id").agg(
-        F.sum("one").alias("n"), *[F.sum(v).alias(f"sum_{v}") for v in dims], F.sum("pop").alias("pop"))
-    scored = _with_average(by_id, dims)
+    far = average_dissimilarity(df, feature_cols, id_col, on_null=on_null)
+    scored = far.join(popularity(df, queries, id_col, **popularity_options), "id", "left").fillna(0, ["pop"])
     scored = scored.select("id", "avg_dissim", "pop",
                            (F.col("pop") * F.col("avg_dissim")).alias("importance"))
     scored = scored.orderBy(F.desc("importance"), "id")
