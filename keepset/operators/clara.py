@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from keepset.functions.hashing import hash_key, uniform
 from keepset.functions.vectors import STEPS
-from keepset.operators.medoids import Medoids, _medoids, clustering_cost, farthest_point, kept_ids
+from keepset.operators.medoids import Medoids, medoid_set, clustering_cost, farthest_point, kept_ids
 from keepset.operators.points import dims_of, prepared_points, spread
 
 SAMPLE_ROUNDS = 50
@@ -65,7 +65,7 @@ def _stepped(similarity: np.ndarray) -> np.ndarray:
     return np.floor(similarity * STEPS + 0.5)
 
 
-def _add_farthest(x: np.ndarray, ids: np.ndarray, picked: list[int], k: int) -> list[int]:
+def add_farthest(x: np.ndarray, ids: np.ndarray, picked: list[int], k: int) -> list[int]:
     """Grow ``picked`` to ``k`` rows of different ids, farthest first."""
     picked = list(picked)
     best = (x @ x[picked].T).max(axis=1)
@@ -82,7 +82,7 @@ def _cluster_sample(x: np.ndarray, weight: np.ndarray, ids: np.ndarray, first: i
                     max_iter: int) -> list[int]:
     """Rows of the medoids of one sample: farthest-point seeds, then
     assignment and best member in turn until nothing moves."""
-    picked = _add_farthest(x, ids, [first], k)
+    picked = add_farthest(x, ids, [first], k)
     for _ in range(max_iter):
         near = _stepped(x @ x[picked].T).argmax(axis=1)
         moved = [-1] * len(picked)
@@ -93,7 +93,7 @@ def _cluster_sample(x: np.ndarray, weight: np.ndarray, ids: np.ndarray, first: i
                 moved[c] = int(member[_stepped(x[member] @ mean).argmax()])
         if -1 in moved:
             full = [m for m in moved if m >= 0]
-            spare = iter(_add_farthest(x, ids, full, len(picked))[len(full):])
+            spare = iter(add_farthest(x, ids, full, len(picked))[len(full):])
             moved = [m if m >= 0 else next(spare) for m in moved]
         if moved == picked:
             break
@@ -117,7 +117,7 @@ def clara(points: DataFrame, k: int, sample_size: int = 20000, restarts: int = 8
     fraction = min(1.0, max(sample_size, 2 * k) / n)
     found = sample_medoids(clara_samples(points, fraction, restarts, seed, unique_ids), k, seed)
     rows = found.orderBy("restart", "cid").collect()  # k rows per restart
-    sets = [_medoids([r for r in rows if r["restart"] == s], dims)
+    sets = [medoid_set([r for r in rows if r["restart"] == s], dims)
             for s in sorted({r["restart"] for r in rows})]
     if not sets:
         return farthest_point(points, k, seed)

@@ -48,6 +48,8 @@ def nonzero_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def first_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """The first ``n`` rows in the given order; ties by the other columns, so
-    the subset is the same on every run."""
+    the subset is the same on every run. Each partition passes on its first
+    ``n`` rows and one task merges them, so ``n`` is a subset's size, not a
+    table's."""
     rest = [f.name for f in df.schema if f.name not in order_by and not isinstance(f.dataType, T.MapType)]
     return df.orderBy(*order_by, *rest).limit(n)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepset.functions.hashing import hash_key
-from keepset.operators.clara import _add_farthest
+from keepset.operators.clara import add_farthest
 from keepset.operators.medoids import Medoids, farthest_point, kept_ids
 from keepset.operators.points import dims_of, prepared_points, spread
 
@@ -35,7 +35,7 @@ def shard_centers(points: DataFrame, k: int, shards: int, fraction: float, seed:
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", *dims], ignore_index=True)
-        picked = _add_farthest(rows[dims].to_numpy(), rows["id"].to_numpy(), [int(rows["draw"].argmin())], k)
+        picked = add_farthest(rows[dims].to_numpy(), rows["id"].to_numpy(), [int(rows["draw"].argmin())], k)
         return rows.loc[picked, ["id", *dims]]
 
     return dealt.groupBy("shard").applyInPandas(pick, schema)

@@ -44,7 +44,8 @@ class Medoids:
         return [(cid, i) for cid, i in enumerate(self.ids)]
 
 
-def _medoids(rows: list, dims: list[str]) -> Medoids:
+def medoid_set(rows: list, dims: list[str]) -> Medoids:
+    """Collected rows (id, v0 ..) as a medoid set."""
     return Medoids([r["id"] for r in rows],
                    np.array([[r[v] for v in dims] for r in rows], dtype=float).reshape(len(rows), len(dims)))
 
@@ -102,7 +103,7 @@ def first_point(points: DataFrame, seed: int) -> Medoids:
     """A repeatable random point: the smallest hash of its id and the seed."""
     dims = dims_of(points)
     order = [hash_key(seed, F.col("id")), F.col("id"), *[F.col(v) for v in dims]]
-    return _medoids(points.orderBy(*order).limit(1).collect(), dims)
+    return medoid_set(points.orderBy(*order).limit(1).collect(), dims)
 
 
 def farthest_point(points: DataFrame, k: int, seed: int = 42, start: Medoids | None = None,
@@ -219,7 +220,7 @@ def pam_round(points: DataFrame, medoids: Medoids) -> Medoids:
     """
     dims = dims_of(points)
     found = medoid_update(points, medoids)
-    moved = _medoids([found[c] for c in sorted(found)], dims)
+    moved = medoid_set([found[c] for c in sorted(found)], dims)
     if len(found) == len(medoids):
         return moved
     grown = farthest_point(points, len(medoids), start=moved)
