@@ -1,8 +1,10 @@
 """Headline timings. Prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS.
-Each query runs once to warm up at a small size and is then timed, workload
-generation included and column statistics not, as in the published figures.
+The tables are cached first and one small popularity run warms the session up;
+then each query is timed once, workload generation included and column
+statistics not, as in the published figures. Names on the command line choose
+queries.
 """
 
 from __future__ import annotations
