@@ -9,14 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def texts(column: pa.Array) -> list[str]:
-    """The strings of a column; null counts as empty."""
-    return ["" if t is None else t for t in column.to_pylist()]
+def texts(column: pa.Array, at_once: int = 256) -> Iterator[str]:
+    """The strings of a column, a few in memory at a time; null counts as empty."""
+    for a in range(0, len(column), at_once):
+        yield from ("" if t is None else t for t in column.slice(a, at_once).to_pylist())
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of a string column; null counts as empty."""
-    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+def utf8(column: pa.Array, at_once: int = 256) -> Iterator[bytes]:
+    """The UTF-8 bytes of a string column, a few in memory at a time; null counts as empty."""
+    for a in range(0, len(column), at_once):
+        yield from (b"" if t is None else t for t in column.slice(a, at_once).cast(pa.binary()).to_pylist())
 
 
 def lists(rows: np.ndarray) -> pa.Array:

@@ -8,7 +8,7 @@ import xxhash
 #: A-Z lowered, and what separates words, on UTF-8 bytes.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 150_000
 _known: dict[bytes, int] = {}
 
 

@@ -351,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vote = voters.ballot()
         for batch in batches:
-            found = texts(batch.column("text"))
+            found = list(texts(batch.column("text")))
             masks = np.array([vote(t) for t in found], dtype=np.int64)
             target = model.posterior(bits(masks, k)) if len(masks) else np.empty(0)
             units_of = [np.array(sorted({slot(u) for u in _all_units(t)}), dtype=np.int32).tobytes() for t in found]

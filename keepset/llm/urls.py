@@ -124,7 +124,7 @@ def fit(df: DataFrame, url_col: str = "url", accepted: str = "accepted") -> UrlM
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 2, SLOTS), dtype=np.int64)
         for batch in batches:
-            urls, good = utf8(batch.column("url")), batch.column("accepted").to_pylist()
+            urls, good = list(utf8(batch.column("url"))), batch.column("accepted").to_pylist()
             for c in (0, 1):
                 part = [u for u, g in zip(urls, good, strict=True) if g == bool(c)]
                 for a in range(0, len(part), 5000):
