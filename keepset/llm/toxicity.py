@@ -10,7 +10,7 @@
    of all documents estimates rates and correlations, starting from the labelled
    rows, which stay in as counts. Only sums over pairs of voters reach the driver.
 3. Classifier. A logistic model over the presence of hashed words and word beginnings with
-   an L1 penalty, fitted to the label model's posteriors of the sampled documents.
+   an L1 penalty (the units that keep a weight are then named), fitted to the label model's posteriors of the sampled documents.
 
 Every document is scored whole, where it lies. Null texts count as empty and get
 the score of a text without words. Without labels of both classes every score is
@@ -45,10 +45,21 @@ HASH_BITS = 20
 BEGINNINGS = (4, 5, 6, 7, 8)
 DENSE_WORDS = 250
 _WORD = re.compile(r"[^\W\d_]+")
+_MASKED = re.compile(r"[^\W\d_][*#@$%&]+[^\W\d_]")
+_DIGITS = re.compile(r"[^\W\d_]\d+[^\W\d_]")
+
+
+def _runs_of_four(text: str) -> int:
+    a = np.frombuffer(text.encode(), dtype=np.uint8)
+    same = a[1:] == a[:-1]
+    return int((same[2:] & same[1:-1] & same[:-2] & (a[:-3] > 64)).sum()) if len(a) > 3 else 0
+
+
 #: Pattern voters: fire when found at least so often per word.
-PATTERNS = [("shouting", re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b"), 0.2), ("exclaiming", re.compile(r"!"), 0.1),
-            ("masked", re.compile(r"[^\W\d_][*#@$%&]+[^\W\d_]"), 0.02), ("digits inside", re.compile(r"[^\W\d_]\d+[^\W\d_]"), 0.02),
-            ("spelled out", re.compile(r"\b(?:[^\W\d_][ .\-]){3,}[^\W\d_]\b"), 0.01), ("repeats", re.compile(r"([^\W\d_])\1{3,}"), 0.01)]
+PATTERNS = [("shouting", lambda t: sum(map(str.isupper, t.split())), 0.2), ("exclaiming", lambda t: t.count("!"), 0.1),
+            ("masked", lambda t: len(_MASKED.findall(t)) if any(c in t for c in "*#@$%&") else 0, 0.02),
+            ("digits inside", lambda t: len(_DIGITS.findall(t)) if any(c in t for c in "0123456789") else 0, 0.02),
+            ("single letters", lambda t: sum(len(w) == 1 for w in t.split()), 0.2), ("repeated letters", _runs_of_four, 0.01)]
 
 
 def words(text: str) -> list[str]:
@@ -75,23 +86,21 @@ def _all_units(text: str) -> set[str]:
 
 
 class Lookup:
-    """Which of the wanted units a text holds; remembers what it found in each word."""
+    """Which of the wanted units a text holds; most words are set aside by their first four letters."""
 
     def __init__(self, wanted: Iterable[str]):
         self.wanted = frozenset(wanted)
         self.plain = frozenset(u.rstrip("+") for u in self.wanted)
-        self.known: dict[str, tuple] = {}
+        self.heads = frozenset(u.rstrip("*")[:4] for u in self.plain)
 
     def __call__(self, found: list[str]) -> set[str]:
         counts: dict[str, int] = {}
+        heads, plain = self.heads, self.plain
         for w in found:
-            at = self.known.get(w)
-            if at is None:
-                if len(self.known) > 400_000:
-                    self.known.clear()
-                self.known[w] = at = tuple(u for u in units(w) if u in self.plain)
-            for u in at:
-                counts[u] = counts.get(u, 0) + 1
+            if w[:4] in heads:
+                for u in units(w):
+                    if u in plain:
+                        counts[u] = counts.get(u, 0) + 1
         held = counts.keys() | {u + "+" for u, n in counts.items() if dense(n, len(found))}
         return held & self.wanted
 
@@ -113,12 +122,8 @@ class Voters:
             found = words(text)
             mask = sum(1 << place[u] for u in lookup(found))
             least = max(len(found), 5)
-            for i, (_, pattern, share) in enumerate(PATTERNS):
-                need, n = share * least, 0
-                for n, _ in enumerate(pattern.finditer(text), 1):
-                    if n >= need:
-                        break
-                if n and n >= need:
+            for i, (_, count, share) in enumerate(PATTERNS):
+                if count(text) >= share * least:
                     mask |= 1 << len(self.names) + i
             return mask
 
@@ -305,25 +310,15 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, *, rate: float = 0.3,
 
 @dataclass(frozen=True)
 class Classifier:
-    weights: np.ndarray
+    weights: dict[str, float]  # of units
     bias: float
 
     def scorer(self):
         """The function from a text to its score."""
-        known: dict[str, tuple] = {}
+        lookup = Lookup(self.weights)
 
         def score(text: str) -> float:
-            found, counts = words(text), {}
-            for w in found:
-                at = known.get(w)
-                if at is None:
-                    if len(known) > 400_000:
-                        known.clear()
-                    known[w] = at = tuple(u for u in units(w) if self.weights[slot(u)] or self.weights[slot(u + "+")])
-                for u in at:
-                    counts[u] = counts.get(u, 0) + 1
-            used = {slot(u) for u in counts} | {slot(u + "+") for u, n in counts.items() if dense(n, len(found))}
-            total = self.bias + sum(float(self.weights[h]) for h in sorted(used))
+            total = self.bias + sum(self.weights[u] for u in sorted(lookup(words(text))))
             return float(1 / (1 + np.exp(-min(max(total, -30.0), 30.0))))
 
         return score
@@ -336,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
     if not voters.names:
         share = sample.agg(F.avg("label")).first()[0] or 0.0
         odds = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-        return Classifier(np.zeros(1 << HASH_BITS, dtype=np.float32), odds)
+        return Classifier({}, odds)
     k = len(voters)
 
     @F.pandas_udf("long")
@@ -358,7 +353,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(target, pa.float64()), pa.array(units_of, pa.binary())], ["target", "units"])
 
     got = sample.select("text").mapInArrow(work, "target double, units binary").toPandas().sort_values(["target", "units"])
-    return Classifier(*fit_linear([np.frombuffer(b, dtype=np.int32) for b in got["units"]], got["target"].to_numpy()))
+    weights, bias = fit_linear([np.frombuffer(b, dtype=np.int32) for b in got["units"]], got["target"].to_numpy())
+    used = frozenset(np.flatnonzero(weights).tolist())
+
+    def names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {u for t in texts(batch.column("text")) for u in _all_units(t) if slot(u) in used}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["unit"])
+
+    found = sample.select("text").mapInArrow(names, "unit string").distinct().collect()  # units of the bounded sample
+    return Classifier({r["unit"]: float(weights[slot(r["unit"])]) for r in found}, bias)
 
 
 def scored(df: DataFrame, model: Classifier, text_col: str = "text", name: str = "score") -> DataFrame:
