@@ -19,7 +19,9 @@ empty table gives no pieces. Only the two named columns are read.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -54,15 +56,22 @@ def encoder(tokenizer: str, ranks: str):
     def place(name):
         return name if os.path.isabs(name) else public_tokenizers.path(name)
 
-    exact = Tokenizer.from_file(place(tokenizer))
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
+    with open(place(tokenizer), encoding="utf-8") as file:
+        whole = file.read()
+    at = re.search(r'"added_tokens"\s*:\s*', whole)
+    special = [t["content"] for t in json.JSONDecoder().raw_decode(whole, at.end())[0]] if at else []
+
+    @functools.cache
+    def exact():  # large, and rarely needed
+        return Tokenizer.from_file(place(tokenizer))
+
     with open(place(ranks), "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(exact().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return fast.encode_to_numpy(text, disallowed_special=())
 
     return encode
