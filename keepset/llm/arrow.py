@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,24 @@ def utf8(column: pa.Array, at_once: int = 256) -> Iterator[bytes]:
         yield from (b"" if t is None else t for t in column.slice(a, at_once).cast(pa.binary()).to_pylist())
 
 
+def released(work: Callable) -> Callable:
+    """``work`` over batches, giving freed memory back to the system after each task.
+
+    Python workers are reused and share an executor's memory with the JVM.
+    """
+    @functools.wraps(work)
+    def task(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim:
+                trim(0)
+
+    return task
+
+
 def lists(rows: np.ndarray) -> pa.Array:
     """A list column from a matrix, one list per row."""
     n, width = rows.shape

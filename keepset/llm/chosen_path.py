@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepset.llm import bloom
-from keepset.llm.arrow import lists, runs, utf8
+from keepset.llm.arrow import lists, released, runs, utf8
 from keepset.llm.components import components
 from keepset.llm.shingles import minwise, set_key, shingle_set
 from keepset.llm.store import stored, table
@@ -66,7 +66,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
                                               lists(tokens)], ["doc_id", "n_shingles", "k1", "k2", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _BASE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(work), _BASE)
 
 
 def _nodes(reps: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def near_links(docs: DataFrame, base: DataFrame, size: int) -> DataFrame:
                                                   pa.array([p["b"] for p in at[i]], pa.int32()), pa.array([ids[i]] * n, pa.int64()),
                                                   pa.array([blob] * n, pa.binary())], ["node", "a", "b", "id", "set"])
 
-    full = (some.join(wanted, "id").mapInArrow(placed, "node long, a int, b int, id long, set binary")
+    full = (some.join(wanted, "id").mapInArrow(released(placed), "node long, a int, b int, id long, set binary")
             .repartition("node", "a", "b").sortWithinPartitions("node", "a", "b"))
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def near_links(docs: DataFrame, base: DataFrame, size: int) -> DataFrame:
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[first[moved]])], ["u", "v"])
 
-    return full.mapInArrow(compared, "u long, v long")
+    return full.mapInArrow(released(compared), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:

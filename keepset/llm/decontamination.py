@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepset.llm import bloom
-from keepset.llm.arrow import utf8
+from keepset.llm.arrow import released, utf8
 from keepset.llm.store import free_name, stored, table
 
 WINDOW = 10
@@ -89,7 +89,7 @@ def _frequencies(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["term", "n"])
 
     out = np.zeros(len(terms), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(released(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]  # at most one row per term of the slice
     return out
 
@@ -112,7 +112,7 @@ def _index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
                                               pa.array(term, pa.int32()), pa.array(positions, pa.list_(pa.int32()))],
                                              ["key", "doc_id", "term", "positions"])
 
-    return docs.mapInArrow(post, f"key long, doc_id {dict(docs.dtypes)['doc_id']}, term int, positions array<int>")
+    return docs.mapInArrow(released(post), f"key long, doc_id {dict(docs.dtypes)['doc_id']}, term int, positions array<int>")
 
 
 def _runs(equal: np.ndarray, need: int) -> list[tuple[int, int]]:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepset.llm.arrow import texts
+from keepset.llm.arrow import released, texts
 from keepset.llm.store import table
 
 WINDOW = 1024
@@ -192,7 +192,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, token
 
     kind = "long" if key == pa.int64() else "string"
     source = df.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(work, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, "
+    return source.mapInArrow(released(work), f"id {kind}, start long, length long, doc_tokens long, sequence_id long, "
                                    "offset long, tokens binary").withColumnRenamed("id", id_col)
 
 
