@@ -5,8 +5,8 @@ import corpus_pipeline
 from keepset.llm import decontamination, quality
 from keepset.llm.store import stored, table
 
-from .test_duplicates import brute_components
-from .test_search import brute
+from test_duplicates import brute_components
+from test_search import brute
 
 SF = "/root/testdata/sf0.001"
 
