@@ -68,9 +68,9 @@ def main() -> None:
         "importance_100q_55cols": lambda: imp(wide, wide_stats, wide_cols, 100),
         "importance_sum": lambda: importance.summed_importance(
             lineitem.withColumn("popularity", F.col("l_quantity") / 50), id_col="l_orderkey").agg(F.max("importance")).collect(),
-        "medoids_pam_15": lambda: medoids.pam_medoids(lineitem, "l_orderkey", FEATURES, 15, max_iter=5).collect(),
-        "medoids_clara_15": lambda: clara.clara_medoids(lineitem, "l_orderkey", FEATURES, 15, restarts=4).collect(),
-        "kcenter_100": lambda: kcenter.kcenter_medoids(lineitem, "l_orderkey", FEATURES, 100, shards=16).collect(),
+        "medoids_pam_15": lambda: medoids.pam_medoids(lineitem, "l_orderkey", FEATURES, 15).collect(),
+        "medoids_clara_15": lambda: clara.clara_medoids(lineitem, "l_orderkey", FEATURES, 15).collect(),
+        "kcenter_100": lambda: kcenter.kcenter_medoids(lineitem, "l_orderkey", FEATURES, 100).collect(),
     }
     pop(lineitem.limit(1000), line_stats, 70, 2)  # warm up
 

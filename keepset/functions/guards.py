@@ -20,7 +20,7 @@ def required(df: DataFrame, name: str, as_type: str | None = None) -> Column:
 
 def check_features(df: DataFrame, cols: list[str], on_null: str, cast: bool) -> DataFrame:
     """The table the features are to be read from: without its rows that hold
-    a null feature when ``on_null="drop"``. With ``cast=False`` only columns
+    a null, NaN or infinite feature when ``on_null="drop"``. With ``cast=False`` only columns
     that are numeric already are taken."""
     if on_null not in ON_NULL:
         raise ValueError(f"on_null must be one of {ON_NULL}, not {on_null!r}")
@@ -30,14 +30,27 @@ def check_features(df: DataFrame, cols: list[str], on_null: str, cast: bool) ->
             raise TypeError(f"not numeric and cast=False: {text}")
     if on_null == "error":
         return df
-    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols], F.lit(True)))
+    return df.where(reduce(lambda a, b: a & b, [_usable(df, c) for c in cols], F.lit(True)))
+
+
+def _usable(df: DataFrame, name: str) -> Column:
+    """Neither null nor, in a column that can hold them, NaN or infinite."""
+    x = F.col(name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return x.isNotNull() & finite(x)
+    return x.isNotNull()
+
+
+def finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
 def double_features(df: DataFrame, cols: list[str], on_null: str = "error",
                     cast: bool = True) -> tuple[DataFrame, list[Column]]:
     """Feature expressions as doubles and the table they are read from; with
-    ``on_null="error"`` the job fails at the first null feature."""
+    ``on_null="error"`` the job fails at the first null, NaN or infinite one."""
     src = check_features(df, cols, on_null, cast)
     if on_null == "drop":
         return src, [F.col(c).cast("double") for c in cols]
-    return src, [required(df, c, "double") for c in cols]
+    fail = F.raise_error(F.lit("a feature is NaN or infinite")).cast("double")
+    return src, [F.when(finite(x), x).otherwise(fail) for x in (required(df, c, "double") for c in cols)]

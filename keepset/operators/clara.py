@@ -24,21 +24,29 @@ from keepset.operators.medoids import Medoids, medoid_set, clustering_cost, fart
 from keepset.operators.points import dims_of, prepared_points, spread
 
 SAMPLE_ROUNDS = 50
+BLOCK = 4096  # rows of a sample multiplied at a time
 
 
 def clara_samples(points: DataFrame, fraction: float, restarts: int, seed: int = 42,
                   unique_ids: bool = False) -> DataFrame:
-    """(restart, id, v0 .., copies): a Bernoulli sample per restart.
+    """(restart, id, v0 .., copies): a Bernoulli sample per restart, the same
+    on any layout.
 
-    ``unique_ids`` draws by a hash of the id, which makes the sample the same
-    on any layout. It is for tables whose ids do not repeat: otherwise all
-    rows of an id would be drawn together. The default draws row by row.
+    Equal rows are folded into one line first. A line of ``c`` rows is drawn
+    by a hash of restart, id and vector with probability ``fraction * c``, at
+    most 1, and counts for ``fraction * c`` rows, at least 1. ``unique_ids``
+    says that no id repeats: nothing is folded then and the hash is of the id.
     """
     dims = dims_of(points)
-    drawn = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
-    chance = uniform(F.col("restart") + seed, F.col("id")) if unique_ids else F.rand(seed)
-    sample = drawn.where(chance < fraction)
-    return sample.groupBy("restart", "id", *dims).agg(F.count("*").alias("copies"))
+    if unique_ids:
+        lines, parts = points.withColumn("copies", F.lit(1).cast("long")), [F.col("id")]
+    else:
+        lines = points.groupBy("id", *dims).agg(F.count("*").alias("copies"))
+        parts = [F.col("id"), *[F.col(v) for v in dims]]
+    share = F.col("copies") * F.lit(float(fraction))
+    taken = F.filter(F.sequence(F.lit(0), F.lit(restarts - 1)), lambda r: uniform(r + seed, *parts) < share)
+    drawn = lines.select(F.explode(taken).alias("restart"), "id", *dims, "copies")  # only what is drawn is copied
+    return drawn.withColumn("copies", F.greatest(F.lit(1), F.round(share)).cast("long"))
 
 
 def sample_medoids(samples: DataFrame, k: int, seed: int = 42, max_iter: int = SAMPLE_ROUNDS) -> DataFrame:
@@ -84,7 +92,7 @@ def _cluster_sample(x: np.ndarray, weight: np.ndarray, ids: np.ndarray, first: i
     assignment and best member in turn until nothing moves."""
     picked = add_farthest(x, ids, [first], k)
     for _ in range(max_iter):
-        near = _stepped(x @ x[picked].T).argmax(axis=1)
+        near = np.concatenate([_stepped(x[at:at + BLOCK] @ x[picked].T).argmax(axis=1) for at in range(0, len(x), BLOCK)])
         moved = [-1] * len(picked)
         for c in range(len(picked)):
             member = np.flatnonzero(near == c)
@@ -132,7 +140,7 @@ def clara_medoids(df: DataFrame, id_col: str, numeric_cols: list[str], t_keep: i
                   cast_features_to_double: bool = True) -> DataFrame:
     """(cid, id) of ``t_keep`` medoids; zero rows take part at distance 1."""
     if t_keep <= 0:
-        raise ValueError("t_keep must be positive")
+        raise ValueError("at least one row has to be kept")
     points = spread(prepared_points(df, id_col, numeric_cols, pca_k=pca_k, on_null=on_null,
                                     cast=cast_features_to_double)).persist(StorageLevel.MEMORY_AND_DISK)
     try:

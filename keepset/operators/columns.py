@@ -41,9 +41,10 @@ def feature_arrays(df: DataFrame, id_col: str, cols: list[str], on_null: str = "
     return src.select(id_col, F.array(*features).alias("features"))
 
 
-def nonzero_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+def nonzero_rows(df: DataFrame, cols: list[str], on_null: str = "error") -> DataFrame:
     """Rows whose feature vector is not the zero vector."""
-    return df.where(norm_columns([F.col(c).cast("double") for c in cols]) > 0)
+    src, features = double_features(df, cols, on_null)
+    return src.where(norm_columns(features) > 0)
 
 
 def first_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:

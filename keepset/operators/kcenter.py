@@ -1,9 +1,10 @@
 """k centers in two rounds: farthest points per shard, then among the picks.
 
-Each shard samples at most about ``per_shard_sample`` of its rows and picks
-``k`` of them, farthest first; the picks of all shards are few enough for the
-exact selection. With one shard and a sample that covers the table this is
-plain farthest-point selection.
+Each shard picks ``k`` of its rows, farthest first; the picks of all shards
+are few enough for the exact selection. The number of shards grows with the
+table so that none holds more than about ``ROWS_PER_SHARD`` rows. With one shard
+this is plain farthest-point selection. A caller may ask for a sample of each
+shard; if that has too few ids the rest is taken from the whole table.
 """
 
 from __future__ import annotations
@@ -13,22 +14,25 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepset.functions.hashing import hash_key
+from keepset.functions.hashing import hash_key, uniform
 from keepset.operators.clara import add_farthest
 from keepset.operators.medoids import Medoids, farthest_point, kept_ids
 from keepset.operators.points import dims_of, prepared_points, spread
 
+ROWS_PER_SHARD = 100_000
+
 
 def shard_centers(points: DataFrame, k: int, shards: int, fraction: float, seed: int = 42) -> DataFrame:
     """(id, v0 ..): up to ``k`` far apart rows of each shard's sample.
 
-    Rows are drawn one by one and equal ones kept once before they are dealt
-    to shards by a hash of id and vector, so neither a frequent id nor a
+    Equal rows are kept once, then drawn by a hash where a sample is asked
+    for, and dealt to shards by a hash of id and vector, so neither a frequent id nor a
     frequent row can fill a shard.
     """
     dims = dims_of(points)
-    drawn = points if fraction >= 1 else points.where(F.rand(seed) < fraction)
-    dealt = (drawn.select("id", *dims).distinct()
+    rows = points.select("id", *dims).distinct()
+    drawn = rows if fraction >= 1 else rows.where(uniform(seed, "sample", F.col("id"), *[F.col(v) for v in dims]) < fraction)
+    dealt = (drawn
              .withColumn("shard", F.pmod(F.xxhash64("id", *dims), F.lit(shards)).cast("int"))
              .withColumn("draw", hash_key(seed, F.col("id"))))
     schema = f"id {dict(points.dtypes)['id']}, " + ", ".join(f"{v} double" for v in dims)
@@ -41,25 +45,28 @@ def shard_centers(points: DataFrame, k: int, shards: int, fraction: float, seed:
     return dealt.groupBy("shard").applyInPandas(pick, schema)
 
 
-def kcenter(points: DataFrame, k: int, shards: int = 100, per_shard_sample: int = 10000,
+def kcenter(points: DataFrame, k: int, shards: int = 100, per_shard_sample: int | None = None,
             seed: int = 42) -> Medoids:
     n = points.count()
     if n and k > n:
         raise ValueError(f"{k} rows are to be kept, but there are only {n}")
-    fraction = min(1.0, max(shards * per_shard_sample, 2 * k) / max(n, 1))
+    shards = max(shards, -(-n // ROWS_PER_SHARD)) if per_shard_sample is None else shards
+    fraction = 1.0 if per_shard_sample is None else min(1.0, max(shards * per_shard_sample, 2 * k) / max(n, 1))
     centers = shard_centers(points, k, shards, fraction, seed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return farthest_point(centers, k, seed)
+        ids = centers.select(F.count_distinct("id")).first()[0]
+        chosen = farthest_point(centers, min(k, ids), seed) if ids else farthest_point(points, k, seed)
+        return chosen if len(chosen) == k else farthest_point(points, k, seed, start=chosen)
     finally:
         centers.unpersist()
 
 
 def kcenter_medoids(df: DataFrame, id_col: str, numeric_cols: list[str], t_keep: int, *,
-                    shards: int = 100, per_shard_sample: int = 10000, seed: int = 42,
+                    shards: int = 100, per_shard_sample: int | None = None, seed: int = 42,
                     on_null: str = "error") -> DataFrame:
     """(cid, id) of ``t_keep`` rows chosen to be far apart."""
     if t_keep <= 0:
-        raise ValueError("t_keep must be positive")
+        raise ValueError("at least one row has to be kept")
     points = spread(prepared_points(df, id_col, numeric_cols, on_null=on_null)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         chosen = kcenter(points, t_keep, shards, per_shard_sample, seed)

@@ -143,12 +143,12 @@ def _greedy(rows: list, dims: list[str], wanted: int, complete: bool) -> list[in
     """Places of the seeds that can be taken from the fetched rows."""
     x = np.array([[r[v] for v in dims] for r in rows])
     best = np.array([r["_best"] for r in rows])
-    limit = (rows[-1]["_step"], rows[-1]["id"])
+    limit = (rows[-1]["_step"], rows[-1]["id"], tuple(x[-1]))
     open_rows, taken = set(range(len(rows))), []
     while open_rows and len(taken) < wanted:
-        key = lambda i: (int(np.floor(best[i] * STEPS + 0.5)), rows[i]["id"], i)
+        key = lambda i: (int(np.floor(best[i] * STEPS + 0.5)), rows[i]["id"], tuple(x[i]))
         at = min(open_rows, key=key)
-        if not complete and key(at)[:2] > limit:
+        if not complete and key(at) > limit:
             break
         taken.append(at)
         open_rows = {i for i in open_rows if rows[i]["id"] != rows[at]["id"]}
@@ -167,56 +167,67 @@ def cluster_sums(assigned: DataFrame) -> DataFrame:
 
 
 def medoid_update(points: DataFrame, medoids: Medoids) -> dict[int, Row]:
-    """cid -> (id, v0 ..): in each cluster the member with the smallest total
-    distance to the others, the smallest id on ties.
+    """cid -> (score, id, v0 ..): in each cluster the member with the smallest
+    total distance to the others, the smallest (id, vector) on ties.
 
     The total similarity of a member is its dot product with the cluster's
     sum, so no two members are compared: one pass for the sums, one for the
-    scores, and a look at the winners' rows. Each brings back a row per
-    cluster.
+    scores. In the second each batch passes on its best row per cluster only.
+
+    Different clusters get different ids. Where the best rows of two share
+    one, the cluster with the better score has it and the other looks again
+    among the ids not taken; one that finds none is left out.
     """
     dims = dims_of(points)
     means = np.zeros_like(medoids.vectors)
     for r in cluster_sums(nearest(points, medoids.vectors)).collect():
         means[r["cid"]] = np.array([r[f"s{i}"] for i in range(len(dims))]) / r["n"]
 
-    scored = _scored(points, medoids.vectors, means)
-    # the smallest id among the best, as the minimum of (-score, id)
-    best = scored.groupBy("cid").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("w"))
-    winners = best.select("cid", (-F.col("w.s")).alias("score"), F.col("w.id").alias("id")).collect()
-    wanted = points.sparkSession.createDataFrame(winners, f"cid int, score long, id {dict(points.dtypes)['id']}")
-    rows = _scored(points.where(F.col("id").isin([w["id"] for w in winners])), medoids.vectors, means)
-    # an id may repeat with other vectors: keep the row that won
-    won = (rows.join(F.broadcast(wanted), ["cid", "score", "id"])
-           .groupBy("cid", "id").agg(F.min(F.struct(*dims)).alias("v")).select("cid", "id", "v.*"))
-    return {r["cid"]: r for r in won.collect()}
-
-
-def _scored(points: DataFrame, vectors: np.ndarray, means: np.ndarray) -> DataFrame:
-    """The points with their cluster and mean similarity to it, in steps."""
-    table = np.ascontiguousarray(vectors.T)
-
-    @F.pandas_udf("cid int, score long")
-    def score(*cols: pd.Series) -> pd.DataFrame:
-        x = np.column_stack(cols)
-        cid, mean_sim = np.empty(len(x), dtype=np.int32), np.empty(len(x))
-        for at in range(0, len(x), BLOCK):
-            part = x[at:at + BLOCK]
-            near = np.floor((part @ table) * STEPS + 0.5).argmax(axis=1)
-            cid[at:at + BLOCK] = near
-            mean_sim[at:at + BLOCK] = (part * means[near]).sum(axis=1)
-        return pd.DataFrame({"cid": cid, "score": np.floor(mean_sim * STEPS + 0.5).astype(np.int64)})
-
-    found = points.withColumn("_scored", score(*[F.col(v) for v in dims_of(points)]))
-    return found.select(*points.columns, "_scored.cid", "_scored.score")
+    found = _best_rows(points, medoids.vectors, means, list(range(len(medoids))), [])
+    while True:
+        holder: dict = {}
+        for c, r in sorted(found.items(), key=lambda item: (-item[1]["score"], item[0])):
+            holder.setdefault(r["id"], c)
+        losers = [c for c, r in found.items() if holder[r["id"]] != c]
+        if not losers:
+            return found
+        for c in losers:
+            del found[c]
+        found.update(_best_rows(points, medoids.vectors, means, losers, list(holder)))
+
+
+def _best_rows(points: DataFrame, vectors: np.ndarray, means: np.ndarray, clusters: list[int],
+               taken: list) -> dict[int, Row]:
+    """cid -> (score, id, v0 ..) of the best member whose id is not taken."""
+    dims, table = dims_of(points), np.ascontiguousarray(vectors.T)
+    out = ["cid", "score", "id", *dims]
+
+    def best(batches):
+        for rows in batches:
+            x = rows[dims].to_numpy()
+            cid, mean_sim = np.empty(len(x), dtype=np.int32), np.empty(len(x))
+            for at in range(0, len(x), BLOCK):
+                part = x[at:at + BLOCK]
+                near = np.floor((part @ table) * STEPS + 0.5).argmax(axis=1)
+                cid[at:at + BLOCK] = near
+                mean_sim[at:at + BLOCK] = (part * means[near]).sum(axis=1)
+            rows = rows.assign(cid=cid, score=np.floor(mean_sim * STEPS + 0.5).astype(np.int64))
+            rows = rows[rows["cid"].isin(clusters) & ~rows["id"].isin(taken)]
+            top = rows.groupby("cid")["score"].transform("max")
+            rows = rows[rows["score"] == top].sort_values(["cid", "id", *dims])
+            yield rows.drop_duplicates("cid")[out]
+
+    schema = f"cid int, score long, id {dict(points.dtypes)['id']}, " + ", ".join(f"{v} double" for v in dims)
+    each = points.select("id", *dims).mapInPandas(best, schema)  # k rows a batch at most
+    least = each.groupBy("cid").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", *dims)).alias("w"))
+    return {r["cid"]: r for r in least.select("cid", (-F.col("w.s")).alias("score"), "w.id", *[F.col(f"w.{v}") for v in dims]).collect()}
 
 
 def pam_round(points: DataFrame, medoids: Medoids) -> Medoids:
     """Assign every point, then move each medoid to its cluster's best member.
 
-    A cluster that lost all its members to an equal medoid restarts from the
-    point farthest from the others. Medoids are rows: where an id repeats, two
-    of its rows may be the best of two clusters.
+    A cluster that lost all its members to an equal medoid, or all its ids to
+    other clusters, restarts from the point farthest from the others.
     """
     dims = dims_of(points)
     found = medoid_update(points, medoids)
@@ -232,13 +243,13 @@ def pam_round(points: DataFrame, medoids: Medoids) -> Medoids:
 
 def pam(points: DataFrame, k: int, seed: int = 42, max_iter: int = 20,
         start: Medoids | None = None) -> Medoids:
-    """Alternate assignment and medoid update until the ids stay the same."""
+    """Alternate assignment and medoid update until the medoids stay the same."""
     if k <= 0:
         raise ValueError("the number of rows to keep must be positive")
     medoids = farthest_point(points, k, seed, start)
     for _ in range(max_iter if len(medoids) else 0):
         moved = pam_round(points, medoids)
-        if moved.ids == medoids.ids:
+        if moved.ids == medoids.ids and np.array_equal(moved.vectors, medoids.vectors):
             break
         medoids = moved
     return medoids
@@ -251,7 +262,7 @@ def pam_medoids(df: DataFrame, id_col: str, numeric_cols: list[str], t_keep: int
     features are all zero take no part. Empty for an empty table, and an error
     if there are fewer ids than rows to keep."""
     if t_keep <= 0:
-        raise ValueError("t_keep must be positive")
+        raise ValueError("at least one row has to be kept")
     points = spread(prepared_points(df, id_col, numeric_cols, pca_k=pca_k, drop_zero=True, on_null=on_null,
                                     cast=cast_features_to_double)).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepset.functions.guards import check_features, required
+from keepset.functions.guards import check_features, finite, required
 from keepset.functions.vectors import nonzero_norm, norm_columns
 
 
@@ -31,11 +31,12 @@ def feature_points(df: DataFrame, id_col: str, cols: list[str], *, keep: list[st
 
 def unit_points(points: DataFrame, drop_zero: bool = False) -> DataFrame:
     """The points scaled to length 1; zero vectors stay zero, or are dropped.
-    A null feature makes the norm null and fails the job."""
+    A null, NaN or infinite feature shows in the norm and fails the job."""
     dims = dims_of(points)
     raw = [F.col(v) for v in dims]
-    fail = F.raise_error(F.lit("null in a feature column")).cast("double")
-    normed = points.withColumn("_norm", F.coalesce(norm_columns(raw), fail))
+    fail = F.raise_error(F.lit("null in a feature column, or NaN or infinity")).cast("double")
+    normed = points.withColumn("_norm", norm_columns(raw))
+    normed = normed.withColumn("_norm", F.when(finite(F.col("_norm")), F.col("_norm")).otherwise(fail))
     if drop_zero:
         normed = normed.where(F.col("_norm") > 0)
     normed = normed.withColumn("_norm", nonzero_norm(F.col("_norm")))
@@ -66,7 +67,8 @@ def prepared_points(df: DataFrame, id_col: str, cols: list[str], *, pca_k: int =
 
 
 def spread(points: DataFrame) -> DataFrame:
-    """Deal the points out when they sit in fewer partitions than there are
-    cores, as one small file does; a table of many files is left as it is."""
+    """Deal the points out when they come from fewer files than there are
+    cores; a table of many files is left as it is. Only the list of files is
+    looked at, nothing is run."""
     cores = points.sparkSession.sparkContext.defaultParallelism
-    return points.repartition(cores) if points.rdd.getNumPartitions() < cores else points
+    return points.repartition(cores) if len(points.inputFiles()) < cores else points

@@ -54,10 +54,15 @@ def popularity(df: DataFrame, queries: DataFrame | list[dict], id_col: str = "Un
 
 def row_popularity(df: DataFrame, queries: DataFrame | list[dict], id_col: str = "Unique_ID",
                    **options) -> DataFrame:
-    """(id, pop) with one row per input row. The parts of a row are made in one
-    partition, so the sum by row number is complete before it is shuffled."""
-    numbered = df.withColumn("_row_no", F.monotonically_increasing_id())
-    found = popularity_parts(numbered, queries, ["_row_no", id_col], **options)
+    """(id, pop) with one row per input row.
+
+    A workload small enough for CASE terms is a projection. Otherwise the parts
+    of a row are made in one partition, so the sum by row number is complete
+    before it is shuffled; the numbers are written out first when several
+    slices have to agree on them."""
+    found, whole = _parts(df, queries, [id_col], numbered=True, **options)
+    if whole:
+        return found.select(required(found, id_col).alias("id"), "pop")
     by_row = found.groupBy("_row_no", required(found, id_col).alias("id"))
     return by_row.agg(F.sum("pop").alias("pop")).select("id", "pop")
 
@@ -97,6 +102,7 @@ class _Layout:
     that (``wide``) make the keys (place, value) pairs instead.
     """
     names: list[str]
+    reals: list[bool]
     integral: list[bool]
     null_safe: bool
     wide: bool
@@ -137,9 +143,10 @@ class _Layout:
                 in_range = value.between(-self.limit, self.limit)
                 safe = self.wide or not isinstance(kind, T.LongType)
             else:
-                # no constant equals a fraction, a NaN or an infinity
-                value, real = x.try_cast("long"), x.cast("double")
-                in_range = (real == F.floor(real)) & (F.abs(real) <= float(self.limit))
+                # no constant equals a fraction, a NaN or an infinity; decimals are tested as decimals
+                exact = x if isinstance(kind, T.DecimalType) else x.cast("double")
+                value = exact.try_cast("long")
+                in_range = (exact == F.floor(exact)) & value.between(-self.limit, self.limit)
                 safe = False
             key = self.key(F.lit(i), value)
             if not safe:
@@ -154,12 +161,18 @@ def largest_constant(n_columns: int) -> int:
     return 2 ** (63 - n_columns.bit_length()) - 2
 
 
-def popularity_parts(df: DataFrame, queries: DataFrame | list[dict], keep: list[str], *,
-                     null_safe: bool = False, empty_query: str = "none",
-                     max_case: int = MAX_CASE_CONDITIONS,
-                     max_broadcast: int = MAX_BROADCAST_CONDITIONS) -> DataFrame:
+def popularity_parts(df: DataFrame, queries: DataFrame | list[dict], keep: list[str], **options) -> DataFrame:
     """(keep .., pop): every base row at least once, with parts of its
     popularity; summing ``pop`` by the kept columns gives the whole."""
+    return _parts(df, queries, keep, **options)[0]
+
+
+def _parts(df: DataFrame, queries: DataFrame | list[dict], keep: list[str], *,
+           null_safe: bool = False, empty_query: str = "none",
+           max_case: int = MAX_CASE_CONDITIONS, max_broadcast: int = MAX_BROADCAST_CONDITIONS,
+           numbered: bool = False) -> tuple[DataFrame, bool]:
+    """The parts, and whether each base row stands once, with its whole
+    popularity. ``numbered`` adds ``_row_no`` where rows stand several times."""
     if empty_query not in EMPTY_QUERY:
         raise ValueError(f"empty_query must be one of {EMPTY_QUERY}, not {empty_query!r}")
     if isinstance(queries, list):
@@ -179,19 +192,25 @@ def popularity_parts(df: DataFrame, queries: DataFrame | list[dict], keep: list[
     for name, kind in kinds.items():
         if not isinstance(kind, T.NumericType):
             raise TypeError(f"condition column {name!r} is {kind.simpleString()}, not numeric")
+    # a constant meets a double or float column as a double, in either form
+    reals = {name for name, kind in kinds.items() if isinstance(kind, (T.DoubleType, T.FloatType))}
     total = sum(r["n"] for r in seen)
     if total <= max_case:
         start = F.lit(at_start).cast("long")
-        return df.select(*keep, (start + _case_sum(workload, null_safe) if total else start).alias("pop"))
+        return df.select(*keep, (start + _case_sum(workload, null_safe, reals) if total else start).alias("pop")), True
 
-    bound = largest_constant(len(seen))
+    # half of it, as a constant for a double column may be rounded up
+    bound = largest_constant(len(seen)) // 2
     layout = _Layout(
-        names=list(kinds), integral=[isinstance(k, INTEGRAL) for k in kinds.values()], null_safe=null_safe,
+        names=list(kinds), reals=[name in reals for name in kinds], integral=[isinstance(k, INTEGRAL) for k in kinds.values()], null_safe=null_safe,
         wide=any(max(abs(r["low"] or 0), abs(r["high"] or 0)) > bound for r in seen))
     shape = _Shape(longest=max(r["n_conds"] for r in seen), has_and=any(r["has_and"] for r in seen),
                    has_null=any(r["has_null"] for r in seen))
 
     n_slices = -(-total // max_broadcast)
+    if numbered:
+        df, keep = df.withColumn("_row_no", F.monotonically_increasing_id()), ["_row_no", *keep]
+        df = materialize(df) if n_slices > 1 else df
     done: DataFrame | None = None
     for i in range(n_slices):
         part = workload
@@ -202,7 +221,7 @@ def popularity_parts(df: DataFrame, queries: DataFrame | list[dict], keep: list[
         done = found if done is None else done.unionByName(found)
         if (i + 1) % SLICES_PER_JOB == 0 and i + 1 < n_slices:
             done = materialize(done.groupBy(*keep).agg(F.sum("pop").alias("pop")))
-    return done
+    return done, False
 
 
 @dataclass(frozen=True)
@@ -212,7 +231,7 @@ class _Shape:
     has_null: bool   # some constant is null
 
 
-def _case_sum(workload: DataFrame, null_safe: bool) -> Column:
+def _case_sum(workload: DataFrame, null_safe: bool, reals: set[str]) -> Column:
     """A handful of queries as one flat sum of CASE terms: no lookup to build
     and no join. The size of the workload is checked by the caller."""
     by_query: dict = {}
@@ -220,7 +239,10 @@ def _case_sum(workload: DataFrame, null_safe: bool) -> Column:
         by_query.setdefault((r["query_id"], r["connector"]), []).append((r["col"], r["val"]))
     terms = []
     for (_, connector), conds in by_query.items():
-        held = [F.col(c).eqNullSafe(F.lit(v)) if null_safe else F.col(c) == F.lit(v) for c, v in conds]
+        held = []
+        for c, v in conds:
+            x, constant = (F.col(c).cast("double"), F.lit(v).cast("double")) if c in reals else (F.col(c), F.lit(v))
+            held.append(x.eqNullSafe(constant) if null_safe else x == constant)
         joined = reduce((lambda a, b: a & b) if connector == "AND" else (lambda a, b: a | b), held)
         terms.append(F.when(joined, 1).otherwise(0).cast("long"))
     return reduce(lambda a, b: a + b, terms)
@@ -250,8 +272,10 @@ def _lookup(workload: DataFrame, layout: _Layout, base: DataFrame, shape: _Shape
         known = conds.groupBy("query_id").agg(F.min(F.col("val").isNotNull()).alias("known"))
         conds = (conds.join(known, "query_id").where(F.col("known") | (F.col("connector") == "OR"))
                  .where(F.col("val").isNotNull()))
+    reals = [i for i, real in enumerate(layout.reals) if real]
+    constant = F.when(F.col("place").isin(reals), F.col("val").cast("double").try_cast("long")).otherwise(F.col("val"))
     conds = conds.select("query_id", "connector", "cond_no", "place",
-                         layout.key(F.col("place"), F.col("val")).alias("key"))
+                         layout.key(F.col("place"), constant).alias("key"))
     times = F.count("*").alias("times")
     spark = workload.sparkSession
     always = spark.range(1).select(layout.always.alias("key"), F.lit(at_start).cast("long").alias("times"))

@@ -201,3 +201,53 @@ def test_reduced_set_keeps_one_row_per_id(spark, toy):
     kept = spark.createDataFrame([(0, 3), (1, 100)], "cid int, id long")
     found = sorted(tuple(r) for r in reduced_set(toy.repartition(4), kept).collect())
     assert found == [(3, 4, 14, 24, 0.4), (100, 200, 1200, 22, 0.5)]
+
+
+def test_medoids_have_different_ids(spark):
+    """Ids on several rows: the best rows of two clusters share one."""
+    rows = [(1, 1.0, 0.0), (1, 0.0, 1.0), (2, 1.0, 0.1), (2, 0.1, 1.0), (3, 0.9, 0.2), (4, 0.2, 0.9)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    for seed in range(4):
+        kept = M.pam_medoids(df, "id", ["x", "y"], 2, seed=seed)
+        assert kept.select("id").distinct().count() == 2
+
+
+def test_seeds_do_not_depend_on_the_candidates(spark):
+    rows = [(1, 1.0, 0.0, 0.0), (2, 0.5, 0.86, 0.1), (2, 0.0, 0.866, 0.5), (3, 0.2, 0.3, 0.9)]
+    points = M_points(spark, rows)
+    for k in (2, 3):
+        one, many = (M.farthest_point(points, k, candidates=c) for c in (1, 1024))
+        assert one.ids == many.ids and (one.vectors == many.vectors).all()
+
+
+def M_points(spark, rows):
+    from keepset.operators.points import prepared_points
+    return prepared_points(spark.createDataFrame(rows, "id long, x double, y double, z double"), "id", ["x", "y", "z"])
+
+
+def test_no_sort_over_all_points_in_an_update(spark):
+    points = M_points(spark, [(i, float(i % 7), float(i % 5), 1.0) for i in range(50)])
+    found = M.medoid_update(points, M.farthest_point(points, 3))
+    assert len(found) == 3 and len({r["id"] for r in found.values()}) == 3
+
+
+def test_nan_and_infinity_are_refused(spark):
+    for bad in (float("nan"), float("inf")):
+        df = spark.createDataFrame([(1, 1.0, bad), (2, 1.0, 1.0), (3, 0.5, 2.0)], "id long, x double, y double")
+        with pytest.raises(Exception, match="NaN"):
+            M.pam_medoids(df, "id", ["x", "y"], 1).collect()
+        assert M.pam_medoids(df, "id", ["x", "y"], 2, on_null="drop").count() == 2
+
+
+def test_kcenter_looks_at_every_row(spark):
+    rows = [(i, float(i % 13 + 1), float(i % 11), float(i % 7)) for i in range(900)]
+    points = M_points(spark, rows)
+    assert len(set(K.kcenter(points, 880, shards=2).ids)) == 880
+    assert len(set(K.kcenter(points, 300, shards=2, per_shard_sample=10).ids)) == 300  # the sample is topped up
+
+
+def test_clara_is_the_same_on_any_layout(spark):
+    rows = [(i % 150, float(i % 13 + 1), float(i % 11), float(i % 7)) for i in range(900)]
+    points = M_points(spark, rows)
+    sets = [C.clara(points.repartition(n), 5, sample_size=200, restarts=3, seed=1).ids for n in (1, 4, 9)]
+    assert sets[0] == sets[1] == sets[2]

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.errors import PySparkException
@@ -123,3 +124,27 @@ def test_base_is_not_shuffled_before_the_sums(toy):
     plan = pop.popularity(toy, TOY, max_case=0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
     assert "partial_sum" in plan and "SortMergeJoin" not in plan
+
+
+def test_one_answer_whatever_the_size_of_the_workload(spark):
+    """Doubles, floats and decimals about 2^53, as CASE terms and as a join, at 64 and at 65 conditions."""
+    big = 2**53
+    rows = [(1, float(big), 0.5, Decimal("9007199254740993.50")), (2, float(big), 3.0, Decimal("9007199254740993.00")),
+            (3, 7.0, float("nan"), Decimal("7.00")), (4, float("inf"), None, None), (5, -0.0, 16777216.0, Decimal("-3.25"))]
+    df = spark.createDataFrame(rows, "Unique_ID long, d double, f float, m decimal(20,2)")
+    queries = [{"d": big + 1}, {"d": big}, {"m": big + 1}, {"m": 7, "d": 7}, {"f": 3}, {"f": 16777217}, {"d": 0}, {"m": -3}]
+    fill = [{"d": 10**6 + i} for i in range(80)]
+    found = []
+    for n, options in ((64, {}), (65, {}), (64, {"max_case": 0}), (64, {"max_case": 0, "null_safe": True})):
+        work = (queries + fill)[:n - 1]  # one query has two conditions
+        assert sum(map(len, work)) == n
+        found.append({r["id"]: r["pop"] for r in pop.popularity(df, work, **options).collect()})
+    assert found[0] == {1: 2, 2: 4, 3: 1, 4: 0, 5: 1} and all(f == found[0] for f in found)
+
+
+def test_rows_are_not_shuffled_for_a_small_workload(spark, toy):
+    found = pop.row_popularity(toy, TOY)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted(found.collect())
+    for options in ENGINES:
+        assert sorted(pop.row_popularity(toy, TOY, **options).collect()) == want
