@@ -45,9 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_given: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this process wrote under scratch paths. Results that still
+    read from there have to be written elsewhere first."""
+    jvm = spark.sparkContext._jvm
+    while _given:
+        path = jvm.org.apache.hadoop.fs.Path(_given.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
-from keepset.session import materialize, scratch_path, shared_dir
+import pytest
+
+from keepset.session import clear_scratch, materialize, scratch_path, shared_dir
 from keepset.sources import runlog, tables
 
 
@@ -37,3 +39,11 @@ def test_materialized_table_has_no_lineage(spark, toy):
     assert shared_dir(spark)
     done = materialize(toy.groupBy("A").count())
     assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString() and done.count() == 4
+
+
+def test_scratch_is_cleared(spark, toy):
+    path = scratch_path(spark, "gone")
+    toy.write.parquet(path)
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
