@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepset.functions.hashing import hash_key, uniform
-from keepset.functions.vectors import STEPS
+from keepset.functions.vectors import STEPS, steps
 from keepset.operators.medoids import Medoids, medoid_set, clustering_cost, farthest_point, kept_ids
 from keepset.operators.points import dims_of, prepared_points, spread
 
@@ -33,7 +33,7 @@ def clara_samples(points: DataFrame, fraction: float, restarts: int, seed: int =
     on any layout.
 
     Equal rows are folded into one line first. A line of ``c`` rows is drawn
-    by a hash of restart, id and vector with probability ``fraction * c``, at
+    by a hash of restart, id and vector (in steps of 1e-9) with probability ``fraction * c``, at
     most 1, and counts for ``fraction * c`` rows, at least 1. ``unique_ids``
     says that no id repeats: nothing is folded then and the hash is of the id.
     """
@@ -42,7 +42,7 @@ def clara_samples(points: DataFrame, fraction: float, restarts: int, seed: int =
         lines, parts = points.withColumn("copies", F.lit(1).cast("long")), [F.col("id")]
     else:
         lines = points.groupBy("id", *dims).agg(F.count("*").alias("copies"))
-        parts = [F.col("id"), *[F.col(v) for v in dims]]
+        parts = [F.col("id"), *[steps(F.col(v)) for v in dims]]
     share = F.col("copies") * F.lit(float(fraction))
     taken = F.filter(F.sequence(F.lit(0), F.lit(restarts - 1)), lambda r: uniform(r + seed, *parts) < share)
     drawn = lines.select(F.explode(taken).alias("restart"), "id", *dims, "copies")  # only what is drawn is copied

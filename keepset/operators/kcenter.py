@@ -14,7 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepset.functions.hashing import hash_key, uniform
+from keepset.functions.hashing import hash_key, uniform, uniform_index
+from keepset.functions.vectors import steps
 from keepset.operators.clara import add_farthest
 from keepset.operators.medoids import Medoids, farthest_point, kept_ids
 from keepset.operators.points import dims_of, prepared_points, spread
@@ -31,9 +32,10 @@ def shard_centers(points: DataFrame, k: int, shards: int, fraction: float, seed:
     """
     dims = dims_of(points)
     rows = points.select("id", *dims).distinct()
-    drawn = rows if fraction >= 1 else rows.where(uniform(seed, "sample", F.col("id"), *[F.col(v) for v in dims]) < fraction)
+    row = [F.col("id"), *[steps(F.col(v)) for v in dims]]
+    drawn = rows if fraction >= 1 else rows.where(uniform(seed, "sample", *row) < fraction)
     dealt = (drawn
-             .withColumn("shard", F.pmod(F.xxhash64("id", *dims), F.lit(shards)).cast("int"))
+             .withColumn("shard", uniform_index(shards, seed, "shard", *row))
              .withColumn("draw", hash_key(seed, F.col("id"))))
     schema = f"id {dict(points.dtypes)['id']}, " + ", ".join(f"{v} double" for v in dims)
 

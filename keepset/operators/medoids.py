@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from keepset.functions.hashing import hash_key
 from keepset.functions.vectors import STEPS, steps
 from keepset.operators.points import dims_of, prepared_points, spread
-from keepset.session import materialize
 
 # Rows per matrix product.
 BLOCK = 4096
 # Candidates fetched per seeding pass, and seeds after which the running best
-# similarity is written out.
+# similarity is kept, so that a pass compares with the seeds since then only.
 CANDIDATES = 1024
 SEEDS_PER_WRITE = 64
 
@@ -122,20 +121,26 @@ def farthest_point(points: DataFrame, k: int, seed: int = 42, start: Medoids | N
     if len(chosen) == 0:
         return chosen
     ids, vectors = list(chosen.ids), [np.array(v) for v in chosen.vectors]
-    work, written = points.withColumn("_best", F.lit(-2.0)), 0
-    while len(ids) < k:
-        fresh = nearest(work, np.array(vectors[written:]))
-        running = fresh.withColumn("_best", F.greatest("_best", "sim")).drop("cid", "sim")
-        if len(ids) - written >= SEEDS_PER_WRITE:
-            work, written = materialize(running), len(ids)
-            running = work
-        least = (running.where(~F.col("id").isin(ids)).withColumn("_step", steps(F.col("_best")))
-                 .orderBy("_step", "id", *dims).limit(candidates).collect())
-        if not least:
-            raise ValueError(f"{k} rows are to be kept, but there are only {len(ids)} ids to choose from")
-        for i in _greedy(least, dims, k - len(ids), complete=len(least) < candidates):
-            ids.append(least[i]["id"])
-            vectors.append(np.array([least[i][v] for v in dims]))
+    work, written, held = points.withColumn("_best", F.lit(-2.0)), 0, []
+    try:
+        while len(ids) < k:
+            fresh = nearest(work, np.array(vectors[written:]))
+            running = fresh.withColumn("_best", F.greatest("_best", "sim")).drop("cid", "sim")
+            if len(ids) - written >= SEEDS_PER_WRITE:
+                work, written = running.persist(StorageLevel.MEMORY_AND_DISK), len(ids)
+                held.append(work)
+            least = (running.where(~F.col("id").isin(ids)).withColumn("_step", steps(F.col("_best")))
+                     .orderBy("_step", "id", *dims).limit(candidates).collect())
+            if len(held) > 1:
+                held.pop(0).unpersist()  # its successor is filled by now
+            if not least:
+                raise ValueError(f"{k} rows are to be kept, but there are only {len(ids)} ids to choose from")
+            for i in _greedy(least, dims, k - len(ids), complete=len(least) < candidates):
+                ids.append(least[i]["id"])
+                vectors.append(np.array([least[i][v] for v in dims]))
+    finally:
+        for one in held:
+            one.unpersist()
     return Medoids(ids, np.array(vectors))
 
 

@@ -11,15 +11,17 @@ condition fewest base rows meet; its other conditions are part of the join
 condition and are checked before a joined row exists. An OR query is looked up
 by each of its conditions and counted at the first one that holds.
 
-What is broadcast is the workload, and it is measured first: beyond
-``MAX_BROADCAST_CONDITIONS`` conditions it is cut by query into slices below
-that size, which are matched one after the other.
+What is broadcast is the workload, and it is measured first. A line of it has
+room for the conditions of the longest query, so it counts as that many; beyond
+``MAX_BROADCAST_CONDITIONS`` in all, short and long queries are parted and cut by
+query into slices below that size, which are matched one after the other.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +124,9 @@ class _Layout:
         return F.struct(place.alias("place"), F.lit(0).cast("long").alias("x")) if self.wide \
             else place.cast("long")
 
+    def place(self, key: str) -> Column:
+        return F.col(f"{key}.place") if self.wide else F.col(key).bitwiseAND(F.lit(2 ** self.bits - 1)).cast("int")
+
     def key(self, place: Column, x: Column) -> Column:
         """The key of a long; null for null unless nulls are to match."""
         if self.wide:
@@ -207,23 +212,42 @@ def _parts(df: DataFrame, queries: DataFrame | list[dict], keep: list[str], *,
     shape = _Shape(longest=max(r["n_conds"] for r in seen), has_and=any(r["has_and"] for r in seen),
                    has_null=any(r["has_null"] for r in seen))
 
-    n_slices = -(-total // max_broadcast)
+    slices = _slices(workload, shape, max_broadcast)
     if numbered:
         df, keep = df.withColumn("_row_no", F.monotonically_increasing_id()), ["_row_no", *keep]
-        df = materialize(df) if n_slices > 1 else df
+        df = materialize(df) if len(slices) > 1 else df
     done: DataFrame | None = None
-    for i in range(n_slices):
-        part = workload
-        if n_slices > 1:
-            part = workload.where(F.pmod(F.xxhash64("query_id"), F.lit(n_slices)) == i)
-        lookup = materialize(_lookup(part, layout, df, shape, at_start if i == 0 else 0))
+    for i, (part, part_shape) in enumerate(slices):
+        lookup = materialize(_lookup(part, layout, df, part_shape, at_start if i == 0 else 0))
         found = _matches(df, lookup, layout, keep)
         done = found if done is None else done.unionByName(found)
-        if (i + 1) % SLICES_PER_JOB == 0 and i + 1 < n_slices:
+        if (i + 1) % SLICES_PER_JOB == 0 and i + 1 < len(slices):
             done = materialize(done.groupBy(*keep).agg(F.sum("pop").alias("pop")))
     return done, False
 
 
+def _slices(workload: DataFrame, shape: _Shape, max_broadcast: int) -> list[tuple[DataFrame, _Shape]]:
+    """The workload in parts whose lookups are small enough to broadcast.
+
+    An AND query is one line of the lookup, an OR query one line for each
+    condition. Queries of like length share a part: up to 1, 2, 4, 8, ..
+    conditions.
+    """
+    doubling = F.ceil(F.log2("n_conds")).cast("int")
+    lines = F.when(F.col("connector") == "AND", 1 / F.col("n_conds")).otherwise(F.lit(1.0))
+    sizes = {r["doubling"]: r["n"] for r in workload.where("n_conds > 0").groupBy(doubling.alias("doubling"))
+             .agg(F.sum(lines).alias("n")).collect()}  # one row per doubling
+    if sum(sizes.values()) * shape.longest <= max_broadcast:
+        return [(workload, shape)]
+    parts = []
+    for k in sorted(sizes):
+        longest = min(2 ** k, shape.longest)
+        n = ceil(round(sizes[k] * longest, 6) / max_broadcast)
+        alike, own = workload.where((F.col("n_conds") > 0) & (doubling == k)), replace(shape, longest=longest)
+        parts += [(alike.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i), own) for i in range(n)]
+    return parts
+
+
 @dataclass(frozen=True)
 class _Shape:
     longest: int     # conditions of the longest query
@@ -250,9 +274,12 @@ def _case_sum(workload: DataFrame, null_safe: bool, reals: set[str]) -> Column:
 
 def _matches(df: DataFrame, lookup: DataFrame, layout: _Layout, keep: list[str]) -> DataFrame:
     """The lookup joined to the base rows: one broadcast join for all queries,
-    the remaining conditions of a query checked inside it."""
+    the remaining conditions of a query checked inside it. A row is looked up
+    by the columns that queries are anchored at, not by all of them."""
+    anchors = sorted(r["place"] for r in lookup.select(layout.place("key").alias("place")).distinct().collect())
     laid_out = df.select(*keep, layout.cells(df).alias("_row"))
-    cells = laid_out.select("*", F.explode_outer("_row").alias("_key"))
+    looked_up = F.array(*[F.get("_row", F.lit(i)) for i in anchors])
+    cells = laid_out.select("*", F.explode_outer(looked_up).alias("_key"))
     on = F.col("_key") == F.col("key")
     for c in lookup.columns:
         if c.startswith("place"):

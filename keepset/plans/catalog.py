@@ -140,6 +140,20 @@ def subset_rows(spark, sf_dir):
     return cols.first_rows(orders, 1000, ["o_custkey"])
 
 
+@query("pca_lengths", f"""
+    WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+    base AS (SELECT v AS b FROM e ORDER BY id LIMIT 1)
+    SELECT id, round({Q.dot("v", "v")}, 6) AS squared_length, round({Q.dot("v", "b")}, 6) AS with_first FROM e, base""")
+def pca_lengths(spark, sf_dir):
+    """With all components kept, lengths and products are those of the features."""
+    scores = P.pca_points(_embedding_points(spark, sf_dir), 64)
+    dims = P.dims_of(scores)
+    own = [F.col(v) for v in dims]
+    first = [F.lit(x) for x in scores.select(F.min_by(F.array(*own), "id")).first()[0]]  # one row
+    return scores.select("id", F.round(V.dot_columns(own, own), 6).alias("squared_length"),
+                         F.round(V.dot_columns(own, first), 6).alias("with_first"))
+
+
 @query("pca_features")
 def pca_features(spark, sf_dir):
     scores = P.pca_points(_embedding_points(spark, sf_dir), 8)
@@ -304,6 +318,45 @@ def pop_case(spark, sf_dir):
     return pop.row_popularity(read(spark, sf_dir, "lineitem"), SMALL, "l_orderkey")
 
 
+@query("pop_rows", f"SELECT l_orderkey AS id, ({Q.case_sum(MULTI)})::BIGINT AS pop FROM lineitem")
+def pop_rows(spark, sf_dir):
+    """Per row, with more conditions than a sum of CASE terms takes."""
+    return pop.row_popularity(read(spark, sf_dir, "lineitem"), MULTI, "l_orderkey")
+
+
+LIMIT = 2 ** 53  # beyond it a double skips integers
+EXACT = ([{"cents": LIMIT + i} for i in range(-2, 12)] + [{"near": LIMIT + i} for i in range(-4, 9)]
+         + [{"cents": LIMIT + i, "near": LIMIT + j} for i in range(4) for j in range(4)])
+_EXACT_PARTS = (f"{LIMIT} + l_linenumber + CASE WHEN l_suppkey % 2 = 0 THEN {{half}} ELSE 0 END", f"{LIMIT} - 4 + l_linenumber")
+
+
+def _exact_sql() -> str:
+    def term(c, v):
+        return f"{c} = {v}::DECIMAL(20, 2)" if c == "cents" else f"{c} = {v}::BIGINT::DOUBLE"
+    hits = " + ".join("CASE WHEN " + " AND ".join(term(c, v) for c, v in q.items()) + " THEN 1 ELSE 0 END" for q in EXACT)
+    rows = (f"SELECT l_orderkey, ({_EXACT_PARTS[0].format(half='0.5')})::DECIMAL(20, 2) AS cents,"
+            f" ({_EXACT_PARTS[1]})::BIGINT::DOUBLE AS near FROM lineitem")
+    return _pop_sql(f"({rows})", "l_orderkey", hits)
+
+
+def _exact_rows(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.expr(f"cast({_EXACT_PARTS[0].format(half='0.5')} AS decimal(20, 2))").alias("cents"),
+        F.expr(f"cast({_EXACT_PARTS[1]} AS double)").alias("near"))
+
+
+@query("pop_exact", _exact_sql())
+def pop_exact(spark, sf_dir):
+    """Decimals with fractions and doubles where these skip integers, by CASE terms."""
+    return pop.popularity(_exact_rows(spark, sf_dir), EXACT, "l_orderkey")
+
+
+@query("pop_exact_join", _exact_sql())
+def pop_exact_join(spark, sf_dir):
+    """The same by the join."""
+    return pop.popularity(_exact_rows(spark, sf_dir), EXACT, "l_orderkey", max_case=0)
+
+
 @query("pop_nullsafe", _pop_sql(f"({NULLABLE.replace(' / 2', ' // 2')})", "c_custkey",
                                 Q.case_sum(WITH_NULLS, null_safe=True)))
 def pop_nullsafe(spark, sf_dir):
@@ -376,6 +429,34 @@ def pop_generated(spark, sf_dir):
     return _lineitem_pop(spark, sf_dir, W.generate_workload(_line_stats(spark, sf_dir), 300, 3))
 
 
+def _text_pop_sql(n: int, max_conditions: int) -> str:
+    """Conditions of the generated statements, matched one by one and counted by row and query."""
+    matched = " UNION ALL ".join(f"SELECT id, row_no, query_id FROM o JOIN conds ON col = '{c}' AND {c} = val"
+                                 for c in STATS_OF["orders"])
+    return f"""
+    WITH s AS ({Q.stats("orders", STATS_OF["orders"])}),
+    numbered AS (SELECT s.*, row_number() OVER (ORDER BY col) - 1 AS place FROM s),
+    q AS (SELECT range AS query_id,
+                 1 + floor({Q.uniform(42, "range", "'n_conds'")} * {max_conditions})::INTEGER AS n_conds,
+                 floor({Q.uniform(42, "range", "'connector'")} * 2) = 0 AS every FROM range({n})),
+    slots AS (SELECT query_id, slot, floor({Q.uniform(42, "query_id", "'pick'", "slot")} * {len(STATS_OF["orders"])}) AS place
+              FROM (SELECT query_id, unnest(range(1, n_conds + 1)) AS slot FROM q)),
+    conds AS (SELECT query_id, numbered.col, {Q.constant("numbered", 42, "query_id", "slot")} AS val
+              FROM slots JOIN numbered USING (place)),
+    o AS (SELECT o_orderkey AS id, row_number() OVER () AS row_no, o_orderkey, o_custkey, o_totalprice FROM orders),
+    hits AS (SELECT id, row_no, query_id, count(*) AS n FROM ({matched}) GROUP BY ALL),
+    found AS (SELECT id, count(*) AS pop FROM hits JOIN q USING (query_id) WHERE n = n_conds OR NOT every GROUP BY 1)
+    SELECT id, coalesce(pop, 0)::BIGINT AS pop FROM (SELECT DISTINCT id FROM o) LEFT JOIN found USING (id)"""
+
+
+@query("pop_generated_text", _text_pop_sql(1000, 3))
+def pop_generated_text(spark, sf_dir):
+    """Generated statements, AND and OR mixed, as a workload."""
+    orders = read(spark, sf_dir, "orders")
+    texts = W.generate_sql_workload(orders.columns, "orders", _stats(spark, sf_dir, "orders"), 1000, 3, "o_orderkey")
+    return pop.popularity(orders, W.sql_conditions(texts), "o_orderkey")
+
+
 # -- importance ------------------------------------------------------------
 
 def _self_join(table: str, id_col: str, features: list[str]) -> str:
@@ -574,6 +655,17 @@ def clara_samples(spark, sf_dir):
     return _rounded(C.clara_samples(points, 0.2, 4, SEED, unique_ids=True))
 
 
+@query("clara_samples_folded", f"""
+    SELECT restart, id, round(v[1], 6) AS v0, round(v[2], 6) AS v1, round(v[3], 6) AS v2,
+           greatest(1, round(n * 0.2::DOUBLE))::BIGINT AS copies
+    FROM (SELECT id, v, count(*) AS n FROM ({Q.unit_rows("lineitem", "l_orderkey", LINE_FEATURES)}) GROUP BY 1, 2),
+         (SELECT range::INTEGER AS restart FROM range(4))
+    WHERE {Q.uniform(f"restart + {SEED}", "id", *[Q.steps(f"v[{i}]") + "::BIGINT" for i in (1, 2, 3)])} < n * 0.2::DOUBLE""")
+def clara_samples_folded(spark, sf_dir):
+    points = P.prepared_points(read(spark, sf_dir, "lineitem"), "l_orderkey", LINE_FEATURES)
+    return _rounded(C.clara_samples(points, 0.2, 4, SEED))
+
+
 @query("medoids_clara")
 def medoids_clara(spark, sf_dir):
     return C.clara_medoids(read(spark, sf_dir, "lineitem"), "l_orderkey", LINE_FEATURES, 10,
@@ -586,7 +678,30 @@ def medoids_clara_pca(spark, sf_dir):
     return C.clara_medoids(wide, "id", P.dims_of(wide), 10, pca_k=16, seed=SEED, unique_ids=True)
 
 
-@query("kcenter_sharded")
+SHARDS = 100  # the default; it grows from ten million rows on
+
+
+def _kcenter_sql(k: int) -> str:
+    """Farthest points of each shard, one step per CTE, then among all picks."""
+    dealt = Q.uniform(SEED, "'shard'", "id", *[Q.steps(f"v[{i}]") + "::BIGINT" for i in (1, 2, 3)])
+
+    def pick(j: int, order: str, where: str = "") -> str:
+        return f"""c{j} AS MATERIALIZED (SELECT shard, id, v FROM (SELECT *, row_number() OVER (
+            PARTITION BY shard ORDER BY {order}) AS place FROM b{j}{where}) WHERE place = 1)"""
+
+    parts = [f"WITH l AS MATERIALIZED (SELECT DISTINCT id, v FROM ({_unit_sql('lineitem')}))",
+             f"b0 AS MATERIALIZED (SELECT id, v, floor({dealt} * {SHARDS})::INTEGER AS shard, -2::DOUBLE AS best FROM l)",
+             pick(0, f"md5(concat_ws('|', {SEED}, id)), id, v")]
+    for j in range(1, k):
+        near = Q.dot("b.v", "c.v")
+        parts += [f"""b{j} AS MATERIALIZED (SELECT b.id, b.v, b.shard, greatest(b.best, {near}) AS best
+                  FROM b{j - 1} b JOIN c{j - 1} c ON b.shard = c.shard WHERE b.id <> c.id)""",
+                  pick(j, f"{Q.steps('best')}, id, v")]
+    picks = " UNION ALL ".join(f"SELECT id, v FROM c{j}" for j in range(k))
+    return ", ".join([*parts, f"u AS MATERIALIZED ({picks})", _seeds(k)]) + f" SELECT cid, id FROM m{k - 1}"
+
+
+@query("kcenter_sharded", _kcenter_sql(20))
 def kcenter_sharded(spark, sf_dir):
     return K.kcenter_medoids(read(spark, sf_dir, "lineitem"), "l_orderkey", LINE_FEATURES, 20,
                              seed=SEED)
@@ -594,6 +709,16 @@ def kcenter_sharded(spark, sf_dir):
 
 # -- the reduced table -----------------------------------------------------
 
+@query("pam_reduced_set", f"""
+    SELECT l_orderkey, l_quantity, l_linenumber, l_suppkey FROM (
+        SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_suppkey) AS place
+        FROM lineitem WHERE l_orderkey IN (SELECT id FROM ({_pam_sql(4, 3)})))
+    WHERE place = 1""")
+def pam_reduced_set(spark, sf_dir):
+    lineitem = read(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_FEATURES)
+    return red.reduced_set(lineitem, medoids_pam(spark, sf_dir), "l_orderkey")
+
+
 @query("reduced_set", f"""
     WITH g AS ({_pop_sql("lineitem", "l_orderkey", Q.case_sum(SMALL))}),
     kept AS (SELECT id FROM g ORDER BY pop DESC, id LIMIT 200)

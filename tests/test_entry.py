@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 CHECKED = ["features_dropna", "column_stats", "workload_dicts", "workload_sql", "pop_multi", "pop_or", "pop_nullsafe",
            "avg_dissim_repeated_ids", "importance_avg", "importance_sum", "farthest_point_repeated_ids",
-           "medoids_pam", "clara_samples", "reduced_set", "scan_csv"]
+           "medoids_pam", "clara_samples", "reduced_set", "scan_csv", "pca_lengths", "pop_rows", "pop_exact", "pop_exact_join",
+           "pop_generated_text", "clara_samples_folded", "kcenter_sharded", "pam_reduced_set"]
 
 
 @pytest.fixture(scope="module")

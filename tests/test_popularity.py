@@ -148,3 +148,20 @@ def test_rows_are_not_shuffled_for_a_small_workload(spark, toy):
     want = sorted(found.collect())
     for options in ENGINES:
         assert sorted(pop.row_popularity(toy, TOY, **options).collect()) == want
+
+
+def test_a_long_query_does_not_widen_the_short_ones(spark):
+    names = [f"c{i}" for i in range(20)]
+    rows = [tuple((i * (j + 3)) % 4 for j in range(20)) for i in range(60)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "Unique_ID long, " + ", ".join(f"{c} int" for c in names))
+    queries = [{names[q % 20]: q % 4} for q in range(90)] + [{names[q % 20]: 1, names[(q + 5) % 20]: 2} for q in range(30)]
+    queries += [dict(zip(names, rows[7]))]
+    lookups = popularity_slices(spark, queries, 150)
+    assert sorted(longest for longest, _ in lookups) == [1, 2, 20] and sum(n for _, n in lookups) == len(queries)
+    assert as_dict(pop.popularity(df, queries, max_broadcast=150)) == {i: sum(all(r[names.index(c)] == v for c, v in q.items()) for q in queries) for i, r in enumerate(rows)}
+
+
+def popularity_slices(spark, queries, bound):
+    workload = workload_from_dicts(spark, queries)
+    parts = pop._slices(workload, pop._Shape(longest=max(map(len, queries)), has_and=True, has_null=False), bound)
+    return [(shape.longest, part.select("query_id").distinct().count()) for part, shape in parts]
