@@ -16,9 +16,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
 
     Rows of ``labels`` with a null id or label are left out, a repeated id
     counts once (its largest label). The ids are taken in the order of a hash,
-    so at most ``rows`` of them are broadcast.
+    so at most ``rows`` of them are broadcast. Of an id that ``docs`` holds several
+    times, the text with the smallest hash is taken, so the sample stays bounded.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).where(keep)
              .groupBy("doc_id").agg(F.max((F.col(label_col) > 0).cast("int")).alias("label")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.struct(F.xxhash64("text").alias("hash"), "text").alias("t")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("t").alias("t")).select("doc_id", "t.text", "label")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from keepset.llm import quality, toxicity
-from keepset.llm.sampling import held_out
+from keepset.llm.sampling import held_out, labelled_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -43,6 +43,15 @@ def test_scores_of_edges(spark, edges):
     assert kept.columns == edges.columns
 
 
+def test_sample_takes_an_id_once(spark, docs):
+    frame = docs([(1, f"text {i}") for i in range(200)] + [(2, None), (2, None), (3, "c"), (4, "d")]).repartition(4)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = {(r.doc_id, r.text, r.label) for r in labelled_sample(frame, labels, "quality", ~held_out(1, 1), 10).collect()}
+    assert len(got) == 3 and {(i, y) for i, _, y in got} == {(1, 1), (2, 0), (3, 1)}
+    again = labelled_sample(frame.repartition(1), labels, "quality", ~held_out(1, 1), 10).collect()
+    assert got == {(r.doc_id, r.text, r.label) for r in again} and len(again) == 3
+
+
 def test_no_labels(spark, edges):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     trees = quality.fit(edges, none, ~held_out(5, 0))
