@@ -145,13 +145,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slop
     one place. ``key`` is a hash of id and text; equal rows share it.
     """
     docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    benchmark = benchmark.select("item_id", "text").distinct()  # a row repeated many times is one item
     item_type = dict(benchmark.dtypes)["item_id"]
     schema = f"key long, doc_id {dict(docs.dtypes)['doc_id']}, item_id {item_type}, start int, length int, kind string"
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = 1 + total // (slice_bytes // 2)  # hashed, so a slice rarely exceeds the bound and never by much
     found, rows = None, None
     for s in range(slices):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).select("item_id", "text")
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s)
         items = Items([tuple(r) for r in part.collect()], window)
         frequency = _frequencies(docs, items.terms) if items.terms else np.zeros(0, dtype=np.int64)
         anchors = items.anchors(frequency)

@@ -48,7 +48,7 @@ def test_random_texts(spark, docs, slice_bytes):
     items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9)))) for i in range(25)] + [(3, "a b c d"), (None, "d d d d"), (40, None), (41, "?")]
     rows = [(d, " ".join(rng.choice("abcdE,") for _ in range(rng.randrange(0, 60)))) for d in range(40)] + [(1, None), (2, ""), (None, "a b c d a b")]
     rows += rows[:3]
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    benchmark = spark.createDataFrame(items * 3, "item_id long, text string")  # repeated rows are one item
     found = decontamination.contamination(docs(rows), benchmark, window=4).collect() if slice_bytes > 999 else None
     if found is None:
         hits, _ = decontamination.matches(docs(rows), benchmark, window=4, slice_bytes=slice_bytes)
