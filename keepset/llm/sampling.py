@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PARTS = 16
+
 
 def held_out(folds: int, fold: int, id_col: str = "doc_id") -> Column:
     """Whether crc32 of the id as text falls on ``fold``; a null id is not held out."""
@@ -23,4 +25,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
              .groupBy("doc_id").agg(F.max((F.col(label_col) > 0).cast("int")).alias("label")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", F.struct(F.xxhash64("text").alias("hash"), "text").alias("t")).join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("doc_id", "label").agg(F.min("t").alias("t")).select("doc_id", "t.text", "label")
+    once = found.groupBy("doc_id", "label").agg(F.min("t").alias("t")).select("doc_id", "t.text", "label")
+    return once.repartition(PARTS)  # so small a shuffle would be read by one task
