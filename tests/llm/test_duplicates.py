@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from keepset.llm import chosen_path, lines
 from keepset.llm.components import components
 
@@ -169,3 +170,13 @@ def test_lines_dropped(spark, docs, edges, edge_rows):
     assert left.columns == edges.columns
     assert sorted(r.doc_id or 0 for r in left.collect()) == sorted(d or 0 for d, _ in edge_rows if d != 6)
     assert lines.line_classes(edges.limit(0)).count() == 0
+
+
+def test_short_lines_take_part_by_equality(spark, docs, tmp_path):
+    rows = [(1, "Les.\nonly here\n\nLes."), (2, " Les.\nLes,\na line that is long enough for the edit join"), (3, "Les.\n"), (4, None)]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links, r.kept) for r in lines.document_lines(spark, str(tmp_path)).collect()}
+    assert found == {(1, 0): (1, 0, 0, True), (1, 1): (1, 1, 0, True), (1, 3): (1, 0, 0, False), (2, 0): (1, 0, 0, False),
+                     (2, 1): (2, 1, 0, True), (2, 2): (2, 2, 0, True), (3, 0): (1, 0, 0, False)}
+    left = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs(rows), "").collect()}
+    assert left == {1: "Les.\nonly here\n", 2: "Les,\na line that is long enough for the edit join", 4: None}
