@@ -180,3 +180,29 @@ def test_short_lines_take_part_by_equality(spark, docs, tmp_path):
                      (2, 1): (2, 1, 0, True), (2, 2): (2, 2, 0, True), (3, 0): (1, 0, 0, False)}
     left = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs(rows), "").collect()}
     assert left == {1: "Les.\nonly here\n", 2: "Les,\na line that is long enough for the edit join", 4: None}
+
+
+def test_edits_grow_with_the_length(spark):
+    """All pairs by hand; lengths around the borders of bands, and a pair too far apart for 64 rows."""
+    rng = random.Random(9)
+    rows, n = [], 0
+    for size in [20, 35, 36, 37, 63, 64, 66, 99, 100, 143, 144, 147, 200, 256, 259, 400, 500]:
+        base = "".join(rng.choice("abcdefgh ") for _ in range(size - 2)).replace("  ", "ab")
+        base = "x" + base + "y"
+        for e in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12):
+            rows.append((n := n + 1, edited(rng, base, e)))
+    distinct = sorted({t.strip() for _, t in rows if len(t.strip()) >= lines.MIN_CHARS})
+    pairs = [(a, b) for i, a in enumerate(distinct) for b in distinct[:i]
+             if abs(len(a) - len(b)) <= 13 and distance(a, b) <= max(2, math.floor(math.sqrt(min(len(a), len(b))) / 2))]
+    degree = defaultdict(int)
+    for a, b in pairs:
+        degree[a] += 1
+        degree[b] += 1
+    texts = dict(rows)
+    found = {texts[r.doc_id].strip(): r.n_links for r in lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
+    assert len(pairs) > 100 and found == {t: degree[t] for t in distinct}
+    assert any(distance(a, b) > 2 for a, b in pairs)
+    for edits in (31, 32, 40, 80):
+        a = "".join(rng.choice("abcd") for _ in range(400))
+        b = edited(rng, a, edits + 15)
+        assert lines.within(a, b, edits) == (distance(a, b) <= edits)
