@@ -13,7 +13,8 @@ overflow shards, counted per input partition first, so no task gathers them. One
 document larger than the limit is a shard of its own.
 
 Null ids and texts count as empty. Repeated rows are kept. An empty table gives
-no rows. Only the named columns are read.
+no rows. Only the named columns are read, unless the rows are to be written: then
+each travels with its shard as one struct.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepset.llm.store import stored, table
+from keepset.llm.store import free_name, stored, table
 
 BITS = 60
 LIMIT = 64 << 20
@@ -36,17 +37,18 @@ def hash_bits(id_col: str, text_col: str):
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """``id, n_bytes, shard, depth`` for each row.
+def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, rows: bool = True) -> DataFrame:
+    """``id, n_bytes, shard, depth`` for each row, and the ``row`` itself as a struct unless ``rows`` is off.
 
     ``shard`` is ``b`` and the prefix bits; overflow shards add ``+`` and a number.
     """
     if limit < 1:
         raise ValueError("a shard needs room for a byte")
-    rows = stored(df.select(F.col(id_col).alias("id"), hash_bits(id_col, text_col).alias("h"),
-                            F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes")), "shard-rows")
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    depth, found, left = min(BITS, max(0, math.ceil(math.log2(max(total / limit, 1)))) + 4), [], rows
+    carried = [F.struct("*").alias("row")] if rows else []
+    hashed = stored(df.select(F.col(id_col).alias("id"), hash_bits(id_col, text_col).alias("h"),
+                              F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"), *carried), "shard-rows")
+    total = hashed.agg(F.sum("n_bytes")).first()[0] or 0
+    depth, found, left = min(BITS, max(0, math.ceil(math.log2(max(total / limit, 1)))) + 4), [], hashed
     lowest = 0
     while True:
         directory, over = _directory(left, lowest, depth, limit)
@@ -86,7 +88,7 @@ def _assigned(rows: DataFrame, directory: DataFrame) -> DataFrame:
     tried = rows.select("*", F.explode(F.array(*[F.lit(d) for d in depths]).cast("array<int>")).alias("depth"))
     tried = tried.withColumn("prefix", F.expr(f"shiftright(h, {BITS} - depth)"))
     bits = F.expr("concat('b', if(depth = 0, '', lpad(bin(prefix), depth, '0')))")
-    return tried.join(directory, ["depth", "prefix"]).select("id", "n_bytes", bits.alias("shard"), "depth")
+    return tried.join(directory, ["depth", "prefix"]).select("id", "n_bytes", bits.alias("shard"), "depth", *_carried(rows))
 
 
 def _overflow(rows: DataFrame, limit: int) -> DataFrame:
@@ -99,18 +101,24 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))
     number = F.floor((F.col("before") + F.col("k")) / room).cast("long")
     return placed.select("id", "n_bytes", F.concat(F.lit("b"), F.lpad(F.bin("h"), BITS, "0"), F.lit("+"), number).alias("shard"),
-                         F.lit(BITS).alias("depth"))
+                         F.lit(BITS).alias("depth"), *_carried(rows))
+
+
+def _carried(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c == "row"]
 
 
 def write_shards(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """One folder per shard with its rows; ``id_col`` is unique here."""
-    joined = df.join(placed.select(id_col, "shard"), id_col)
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    """One folder per shard with its rows of ``df``, as ``shards`` placed each of them; ids may be null or repeat."""
+    if "row" not in _carried(placed):
+        raise ValueError("the shards were made without their rows")
+    name = free_name("shard", df.columns)
+    placed.select("row.*", F.col("shard").alias(name)).repartition(name).write.partitionBy(name).parquet(path)
 
 
 def document_shards(spark, sf_dir: str) -> DataFrame:
     """``op6_sharding``: every document with its shard of at most 64 MiB."""
-    return shards(table(spark, sf_dir, "documents"))
+    return shards(table(spark, sf_dir, "documents"), rows=False)
 
 
 def oracle(limit: int = LIMIT) -> str:

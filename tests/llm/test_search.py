@@ -164,3 +164,14 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs, sharding.shards(docs, limit=50_000), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() > 5
+
+
+def test_written_shards_with_null_and_hot_ids(spark, docs, tmp_path):
+    rows = [(None, "n" * 30)] * 7 + [(None, None)] + [(1, "hot" * 10)] * 40 + [(1, f"text {i} " * 4) for i in range(60)] + [(i, "x" * i) for i in range(2, 60)]
+    frame = docs(rows)
+    sharding.write_shards(frame, sharding.shards(frame, limit=200), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted(rows, key=str)
+    assert set(back.columns) == {*frame.columns, "shard"}
+    sizes = back.selectExpr("shard", "octet_length(coalesce(text, '')) AS b").groupBy("shard").sum("b").collect()
+    assert max(r[1] for r in sizes) <= 200
