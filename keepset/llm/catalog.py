@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepset.llm import chosen_path, decontamination, html, lines, merkle, packing, quality, sharding, toxicity, urls
+from keepset.llm import chosen_path, decontamination, html, lines, manifest, merkle, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.packed_documents,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_near_duplicates": chosen_path.near_duplicate_documents,
     "op9_url_filter": urls.url_verdicts,
     "op10_decontamination": decontamination.contaminated_documents,
+    "op11_manifest": manifest.document_manifest,
 }
 
 ORACLES = {
     "op6_sharding": sharding.oracle(),
+    "op11_manifest": manifest.oracle(),
 }
