@@ -28,13 +28,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepset.llm.store import stored, table
+from keepset.llm.store import forget, stored, table
 
 STRIDE = 6
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPER_MODULUS = 7
 _TOP = -1  # the tree over the languages
-_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 def leaf(columns: dict[str, Column]) -> Column:
@@ -126,13 +125,10 @@ def _climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
                coalesce(c.subroot, if(n.last, n.digest, NULL)) AS subroot, if(n.last AND n.up_tree IS NULL, n.digest, NULL) AS root
         FROM climb c JOIN {above} n ON c.tree = n.tree AND c.tier = n.tier AND c.block = n.block)
     )
-    SELECT id, leaf, folded, proof, subroot, root FROM climb WHERE root IS NOT NULL"""
-    limit = spark.conf.get(_ROW_LIMIT)
-    spark.conf.set(_ROW_LIMIT, "-1")  # every leaf climbs
+    SELECT id, leaf, folded, proof, subroot, root FROM climb WHERE root IS NOT NULL LIMIT ALL"""  # every leaf climbs: no limit on rows
     try:
-        return stored(spark.sql(query), "manifest-climb")
+        return spark.sql(query)
     finally:
-        spark.conf.set(_ROW_LIMIT, limit)
         spark.catalog.dropTempView(starts)
         spark.catalog.dropTempView(above)
 
@@ -155,6 +151,7 @@ def manifest(df: DataFrame, leaf_of: Column, tampered: Column, id_col: str = "do
     placed = (leaves.join(known, F.col("name").eqNullSafe(F.col("tree_name")) & (F.col("part") == F.col("in_part")))
               .select("id", "leaf", "tampered", "tree", (F.col("rank") - F.col("first")).alias("place"), _height(F.col("n")).alias("height")))
     placed = stored(placed, "manifest-placed")
+    forget(source, leaves)
 
     n_trees, tallest = trees.agg(F.count("*"), F.max(_height(F.col("n")))).first()
     tiers, roots = _trees(placed.select("tree", "place", F.col("leaf").alias("digest"), "height"), tallest or 0, "manifest-nodes")
