@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepset.llm import chosen_path, decontamination, html, lines, manifest, merkle, packing, quality, sharding, toxicity, urls
+from keepset.llm import chosen_path, decontamination, html, lines, manifest, merkle, packing, quality, sharding, substrings, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.packed_documents,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filter": urls.url_verdicts,
     "op10_decontamination": decontamination.contaminated_documents,
     "op11_manifest": manifest.document_manifest,
+    "op13_substring_dedup": substrings.deduplicated_documents,
 }
 
 ORACLES = {
