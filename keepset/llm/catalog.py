@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepset.llm import chosen_path, decontamination, html, lines, manifest, merkle, packing, quality, sharding, substrings, toxicity, urls
+from keepset.llm import chosen_path, collocations, decontamination, html, lines, manifest, merkle, packing, quality, sharding, substrings, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.packed_documents,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_url_filter": urls.url_verdicts,
     "op10_decontamination": decontamination.contaminated_documents,
     "op11_manifest": manifest.document_manifest,
+    "op12_collocations": collocations.document_collocations,
     "op13_substring_dedup": substrings.deduplicated_documents,
 }
 
 ORACLES = {
     "op6_sharding": sharding.oracle(),
     "op11_manifest": manifest.oracle(),
+    "op12_collocations": collocations.oracle(),
 }
