@@ -191,6 +191,8 @@ def sorted_counts(words: list[np.ndarray], weight: np.ndarray, least: int) -> li
 
 def _counted(rows: DataFrame, routed: int, least: int) -> DataFrame:
     """``lang, phrase, k, f`` of the frequent phrases of ``routed`` words or more; rows are routed by so many words."""
+    route = [*_WORDS[:routed], "lang"]
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -206,7 +208,7 @@ def _counted(rows: DataFrame, routed: int, least: int) -> DataFrame:
                                                   pa.array([d - 1 for d, _, _ in found], pa.int32()), pa.array([f for _, _, f in found], pa.int64())],
                                                  ["lang", "phrase", "k", "f"])
 
-        for run in runs(batches, ["route"]):
+        for run in runs(batches, route):
             held.append(run)
             size += run.num_rows
             if size >= _AT_ONCE:
@@ -215,9 +217,7 @@ def _counted(rows: DataFrame, routed: int, least: int) -> DataFrame:
         if held:
             yield from flush()
 
-    lead = F.xxhash64("lang", *_WORDS[:routed])
-    routed_rows = rows.withColumn("route", lead).repartition("route").sortWithinPartitions("route")
-    return routed_rows.mapInArrow(released(work), "lang string, phrase string, k int, f long")
+    return rows.repartition(*route).sortWithinPartitions(*route).mapInArrow(released(work), "lang string, phrase string, k int, f long")
 
 
 def _grouped(rows: DataFrame, k: int, least: int) -> DataFrame:
