@@ -217,7 +217,8 @@ def _counted(rows: DataFrame, routed: int, least: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return rows.repartition(*route).sortWithinPartitions(*route).mapInArrow(released(work), "lang string, phrase string, k int, f long")
+    long_enough = rows.where(F.col(route[-2]).isNotNull())  # a shorter suffix holds no phrase of so many words
+    return long_enough.repartition(*route).sortWithinPartitions(*route).mapInArrow(released(work), "lang string, phrase string, k int, f long")
 
 
 def _grouped(rows: DataFrame, k: int, least: int) -> DataFrame:
