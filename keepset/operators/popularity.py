@@ -12,16 +12,17 @@ condition and are checked before a joined row exists. An OR query is looked up
 by each of its conditions and counted at the first one that holds.
 
 What is broadcast is the workload, and it is measured first. A line of it has
-room for the conditions of the longest query, so it counts as that many; beyond
-``MAX_BROADCAST_CONDITIONS`` in all, short and long queries are parted and cut by
-query into slices below that size, which are matched one after the other.
+room for the conditions of the longest query, so it counts as that many. Beyond
+``MAX_BROADCAST_CONDITIONS`` in all, nothing is broadcast but the hot keys: keys and
+lookup are both shuffled, in one pass over the base rows whatever the number of queries. A
+key held by more than 1/``PARTS`` of all cells is split: its lines are repeated
+under as many numbers as it takes, and each cell has one of them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
-from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +35,11 @@ from keepset.session import materialize
 
 # About 100 bytes per condition: 20 MB at most in one broadcast.
 MAX_BROADCAST_CONDITIONS = 200_000
-# Slices matched in one job before the sums so far are written out.
-SLICES_PER_JOB = 4
-# Up to here a sum of CASE terms is faster than a join.
+# A key with more than this share of all cells is split, so fewer keys than this are hot.
+PARTS = 1000
+# Up to here a sum of CASE terms is faster than a join; for queries of one condition, so many a column.
 MAX_CASE_CONDITIONS = 64
+CASES_PER_COLUMN = 16
 EMPTY_QUERY = ("none", "all")
 
 
@@ -59,9 +61,8 @@ def row_popularity(df: DataFrame, queries: DataFrame | list[dict], id_col: str =
     """(id, pop) with one row per input row.
 
     A workload small enough for CASE terms is a projection. Otherwise the parts
-    of a row are made in one partition, so the sum by row number is complete
-    before it is shuffled; the numbers are written out first when several
-    slices have to agree on them."""
+    of a row are added up by its number; these are written out first where
+    the parts come from two readings of the rows."""
     found, whole = _parts(df, queries, [id_col], numbered=True, **options)
     if whole:
         return found.select(required(found, id_col).alias("id"), "pop")
@@ -200,7 +201,10 @@ def _parts(df: DataFrame, queries: DataFrame | list[dict], keep: list[str], *,
     # a constant meets a double or float column as a double, in either form
     reals = {name for name, kind in kinds.items() if isinstance(kind, (T.DoubleType, T.FloatType))}
     total = sum(r["n"] for r in seen)
-    if total <= max_case:
+    shape = _Shape(longest=max((r["n_conds"] for r in seen), default=0), has_and=any(r["has_and"] for r in seen),
+                   has_null=any(r["has_null"] for r in seen))
+    single = max_case and shape.longest == 1 and total <= CASES_PER_COLUMN * len(seen)
+    if total <= max_case or single:
         start = F.lit(at_start).cast("long")
         return df.select(*keep, (start + _case_sum(workload, null_safe, reals) if total else start).alias("pop")), True
 
@@ -209,43 +213,24 @@ def _parts(df: DataFrame, queries: DataFrame | list[dict], keep: list[str], *,
     layout = _Layout(
         names=list(kinds), reals=[name in reals for name in kinds], integral=[isinstance(k, INTEGRAL) for k in kinds.values()], null_safe=null_safe,
         wide=any(max(abs(r["low"] or 0), abs(r["high"] or 0)) > bound for r in seen))
-    shape = _Shape(longest=max(r["n_conds"] for r in seen), has_and=any(r["has_and"] for r in seen),
-                   has_null=any(r["has_null"] for r in seen))
-
-    slices = _slices(workload, shape, max_broadcast)
+    fits = _lines(workload) * shape.longest <= max_broadcast
     if numbered:
         df, keep = df.withColumn("_row_no", F.monotonically_increasing_id()), ["_row_no", *keep]
-        df = materialize(df) if len(slices) > 1 else df
-    done: DataFrame | None = None
-    for i, (part, part_shape) in enumerate(slices):
-        lookup = materialize(_lookup(part, layout, df, part_shape, at_start if i == 0 else 0))
-        found = _matches(df, lookup, layout, keep)
-        done = found if done is None else done.unionByName(found)
-        if (i + 1) % SLICES_PER_JOB == 0 and i + 1 < len(slices):
-            done = materialize(done.groupBy(*keep).agg(F.sum("pop").alias("pop")))
-    return done, False
-
-
-def _slices(workload: DataFrame, shape: _Shape, max_broadcast: int) -> list[tuple[DataFrame, _Shape]]:
-    """The workload in parts whose lookups are small enough to broadcast.
-
-    An AND query is one line of the lookup, an OR query one line for each
-    condition. Queries of like length share a part: up to 1, 2, 4, 8, ..
-    conditions.
-    """
-    doubling = F.ceil(F.log2("n_conds")).cast("int")
+        df = df if fits else materialize(df)
+    if fits:
+        always = df.sparkSession.range(1).select(layout.always.alias("key"), F.lit(at_start).cast("long").alias("times"))
+        lookup = materialize(_lookup(workload, layout, df, shape).unionByName(always, allowMissingColumns=True))
+        return _matches(df, lookup, layout, keep), False
+    heat = materialize(_heat(df, layout))
+    lookup = materialize(_lookup(workload, layout, df, shape, heat))
+    found = _shuffled_matches(df, lookup, layout, keep, heat)
+    return df.select(*keep, F.lit(at_start).cast("long").alias("pop")).unionByName(found), False
+
+
+def _lines(workload: DataFrame) -> int:
+    """Lines of the lookup: one for an AND query, one for each condition of an OR query."""
     lines = F.when(F.col("connector") == "AND", 1 / F.col("n_conds")).otherwise(F.lit(1.0))
-    sizes = {r["doubling"]: r["n"] for r in workload.where("n_conds > 0").groupBy(doubling.alias("doubling"))
-             .agg(F.sum(lines).alias("n")).collect()}  # one row per doubling
-    if sum(sizes.values()) * shape.longest <= max_broadcast:
-        return [(workload, shape)]
-    parts = []
-    for k in sorted(sizes):
-        longest = min(2 ** k, shape.longest)
-        n = ceil(round(sizes[k] * longest, 6) / max_broadcast)
-        alike, own = workload.where((F.col("n_conds") > 0) & (doubling == k)), replace(shape, longest=longest)
-        parts += [(alike.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i), own) for i in range(n)]
-    return parts
+    return round(workload.where("n_conds > 0").agg(F.sum(lines)).first()[0] or 0)
 
 
 @dataclass(frozen=True)
@@ -280,18 +265,60 @@ def _matches(df: DataFrame, lookup: DataFrame, layout: _Layout, keep: list[str])
     laid_out = df.select(*keep, layout.cells(df).alias("_row"))
     looked_up = F.array(*[F.get("_row", F.lit(i)) for i in anchors])
     cells = laid_out.select("*", F.explode_outer(looked_up).alias("_key"))
+    return cells.join(F.broadcast(lookup), _holds(lookup)).select(*keep, F.col("times").alias("pop"))
+
+
+def _heat(df: DataFrame, layout: _Layout) -> DataFrame:
+    """(key, freq): how many base rows have each key, counted on each partition first."""
+    keys = F.slice(layout.cells(df), 1, len(layout.names))
+    return df.select(F.explode(keys).alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("freq"))
+
+
+def _split(heat: DataFrame) -> DataFrame:
+    """(hot, parts): the keys with more than 1/``PARTS`` of all cells and in how many each is split; fewer than ``PARTS`` rows."""
+    most = max((heat.agg(F.sum("freq")).first()[0] or 0) // PARTS, 1)
+    hot = heat.where(F.col("freq") > most).select(F.col("key").alias("hot"), F.ceil(F.col("freq") / most).cast("int").alias("parts"))
+    return F.broadcast(materialize(hot))
+
+
+def _dealt_cells(cells: DataFrame, split: DataFrame, keep: list[str]) -> DataFrame:
+    """The cells, each with the part of its key: equal rows go by the partition they are read in, which a lost task reads again."""
+    part = F.pmod(F.xxhash64(F.spark_partition_id(), *keep), F.col("parts")).cast("int")
+    return cells.join(split, F.col("_key") == F.col("hot"), "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("hot", "parts")
+
+
+def _shuffled_matches(df: DataFrame, lookup: DataFrame, layout: _Layout, keep: list[str], heat: DataFrame) -> DataFrame:
+    """The lookup joined to the base rows by a shuffle of both, hot keys split."""
+    anchors = sorted(r["place"] for r in lookup.select(layout.place("key").alias("place")).distinct().collect())
+    if not anchors:  # no query can hold
+        return df.where("false").select(*keep, F.lit(0).cast("long").alias("pop"))
+    split = _split(heat)
+    laid_out = df.select(*keep, layout.cells(df).alias("_row"))
+    looked_up = F.array(*[F.get("_row", F.lit(i)) for i in anchors])
+    cells = laid_out.select(*keep, *(["_row"] if "rest" in lookup.columns else []), F.explode(looked_up).alias("_key")).where("_key IS NOT NULL")
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    lines = lookup.join(split, F.col("key") == F.col("hot"), "left").withColumn("part", F.explode(parts)).drop("hot", "parts")
+    on = _holds(lookup) & (F.col("_part") == F.col("part"))
+    return _dealt_cells(cells, split, keep).join(lines.hint("shuffle_merge"), on).select(*keep, F.col("times").alias("pop"))
+
+
+def _holds(lookup: DataFrame) -> Column:
+    """Whether a cell meets a line of the lookup: its key, and the remaining conditions in the row."""
     on = F.col("_key") == F.col("key")
+    if "rest" in lookup.columns:
+        return on & F.forall("rest", lambda c: F.get("_row", c["place"]).eqNullSafe(c["key"]) == F.col("want"))
     for c in lookup.columns:
         if c.startswith("place"):
             same = F.get("_row", F.col(c)).eqNullSafe(F.col(c.replace("place", "key")))
             on = on & (F.col(c).isNull() | (same == F.col("want")))
-    return cells.join(F.broadcast(lookup), on).select(*keep, F.col("times").alias("pop"))
+    return on
 
 
-def _lookup(workload: DataFrame, layout: _Layout, base: DataFrame, shape: _Shape, at_start: int) -> DataFrame:
+def _lookup(workload: DataFrame, layout: _Layout, base: DataFrame, shape: _Shape, heat: DataFrame | None = None) -> DataFrame:
     """(key, times, want, place1, key1, ..): a base row that has ``key`` gains
     ``times``, provided that each further key is (``want``) or is not in its
-    place. Equal queries are folded into one line."""
+    place. Equal queries are folded into one line. With ``heat``, the frequencies of
+    all keys, the further ones are one array ``rest``."""
     places = F.create_map(*[x for i, name in enumerate(layout.names) for x in (F.lit(name), F.lit(i))])
     conds = workload.where("n_conds > 0").withColumn("place", places[F.col("col")])
     if shape.has_null and not layout.null_safe:
@@ -304,13 +331,11 @@ def _lookup(workload: DataFrame, layout: _Layout, base: DataFrame, shape: _Shape
     conds = conds.select("query_id", "connector", "cond_no", "place",
                          layout.key(F.col("place"), constant).alias("key"))
     times = F.count("*").alias("times")
-    spark = workload.sparkSession
-    always = spark.range(1).select(layout.always.alias("key"), F.lit(at_start).cast("long").alias("times"))
     if shape.longest == 1:
-        return conds.groupBy("key").agg(times).unionByName(always)
+        return conds.groupBy("key").agg(times)
 
     if shape.has_and:
-        conds = conds.join(F.broadcast(_frequencies(base, conds, layout)), "key", "left")
+        conds = conds.join(F.broadcast(_frequencies(base, conds, layout)) if heat is None else heat, "key", "left")
     else:
         conds = conds.withColumn("freq", F.lit(0).cast("long"))
     per_query = conds.groupBy("query_id", "connector").agg(
@@ -328,9 +353,11 @@ def _lookup(workload: DataFrame, layout: _Layout, base: DataFrame, shape: _Shape
     rest = F.array_sort(F.transform(rest, lambda c: F.struct(c["place"].alias("place"), c["key"].alias("key"))))
     folded = (anchored.select(F.get("conds", F.col("at"))["key"].alias("key"), "want", rest.alias("rest"))
               .groupBy("key", "want", "rest").agg(times))
+    if heat is not None:  # shuffled lines are as long as their own query
+        return folded.select("key", "times", "want", "rest")
     further = [F.get("rest", F.lit(j))[part].alias(f"{part}{j + 1}")
                for j in range(shape.longest - 1) for part in ("place", "key")]
-    return folded.select("key", "times", "want", *further).unionByName(always, allowMissingColumns=True)
+    return folded.select("key", "times", "want", *further)
 
 
 def _frequencies(base: DataFrame, conds: DataFrame, layout: _Layout) -> DataFrame:

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 
 from keepset.functions.hashing import hash_key, standard_normal, uniform_index
 
+MALFORMED = ("fail", "drop")
+# One statement: SELECT .. FROM table [WHERE column = integer {AND column = integer} or {OR column = integer}] [;]
+_NAME = r"(?:`[^`]+`|[A-Za-z_]\w*)"
+_CONDITION = rf"({_NAME})\s*=\s*([+-]?\d+)"
+_STATEMENT = rf"(?is)^\s*SELECT\s+(?:\*|{_NAME}(?:\s*,\s*{_NAME})*)\s+FROM\s+{_NAME}(?:\.{_NAME})*(?:\s+WHERE\s+(\S.*?))?\s*;?\s*$"
 WORKLOAD_SCHEMA = "query_id long, connector string, cond_no int, col string, val long, n_conds int"
 MAX_SELECTED = 3
 
@@ -49,7 +54,8 @@ def _stats_array(stats: DataFrame, table: str | None) -> Column:
     """All statistics rows as one array value, in column-name order. There is
     one row per column of the profiled table, so its size follows the schema."""
     rows = stats if table is None else stats.where(F.col("table") == table)
-    packed = F.sort_array(F.collect_list(F.struct("col", "min", "max", "mean", "std")))
+    low = F.col("low") if "low" in stats.columns else F.lit(None).cast("long").alias("low")
+    packed = F.sort_array(F.collect_list(F.struct("col", "min", "max", "mean", "std", low)))
     return rows.agg(packed.alias("stats")).scalar()
 
 
@@ -74,7 +80,8 @@ def generate_workload(stats: DataFrame, n_queries: int, max_conditions: int = 2,
 
     A drawn column with an unknown statistic (say the deviation of a one-row
     table) gives no condition; if none is left, a random column is compared
-    with its minimum. Without profiled columns the queries are empty.
+    with its minimum (exact where the statistics have ``low``, see
+    ``stats_of``). Without profiled columns the queries are empty.
     """
     qid = F.col("query_id")
     n_cols = F.size("stats")
@@ -95,7 +102,7 @@ def generate_workload(stats: DataFrame, n_queries: int, max_conditions: int = 2,
     ).when(
         n_cols > 0,
         F.array(F.struct(fallback["col"].alias("col"),
-                         F.bround(fallback["min"], 0).cast("long").alias("val"))))
+                         F.coalesce(fallback["low"], F.bround(fallback["min"], 0).cast("long")).alias("val"))))
     return _one_row_per_condition(q.select("query_id", F.lit("AND").alias("connector"), conds.alias("conds")))
 
 
@@ -107,7 +114,8 @@ def generate_sql_workload(df_columns: list[str], table: str, stats: DataFrame, n
     1 to 3 random columns are selected, with the id put first when the table
     has it and it was not drawn. The 1 .. ``max_conditions`` conditions may
     repeat a column; one AND or OR joins them all. Without usable conditions
-    there is no WHERE. ``sql_conditions`` turns the result into a workload.
+    there is no WHERE. ``sql_conditions`` turns the result into a workload, as
+    ``parse_sql_workload`` does from the text alone.
     """
     qid = F.col("query_id")
     n_select = 1 + uniform_index(min(MAX_SELECTED, len(df_columns)), seed, qid, "n_select")
@@ -144,6 +152,35 @@ def sql_conditions(sql_workload: DataFrame) -> DataFrame:
     return _one_row_per_condition(sql_workload.select("query_id", "connector", "conds"))
 
 
+def parse_sql_workload(texts: DataFrame, text_col: str = "sql_text", id_col: str = "query_id", on_malformed: str = "fail") -> DataFrame:
+    """The workload rows of plain statements, read from their text alone.
+
+    A statement selects columns (or ``*``) from one table, with or without a WHERE in which conditions ``column = integer`` are all
+    joined by AND or all by OR; keywords in any case, names plain or in backquotes, columns repeated or not, a ``;`` at the
+    end or none. A single condition counts as AND. Anything else is malformed, as are null text and constants
+    beyond a long: the job fails and names the query, or (``"drop"``) the statement is left out.
+    """
+    if on_malformed not in MALFORMED:
+        raise ValueError(f"on_malformed must be one of {MALFORMED}, not {on_malformed!r}")
+    text = F.col(text_col)
+    where = F.regexp_extract(text, _STATEMENT, 1)
+    plain = _CONDITION.replace("(`", "(?:`").replace("([+-]", "(?:[+-]")
+    joined = rf"(?i)^{plain}(?:(?:\s+AND\s+{plain})*|(?:\s+OR\s+{plain})*)$"
+    found = texts.select(F.col(id_col).alias("query_id"), text.alias("text"), where.alias("where")).select(
+        "query_id", "text", "where",
+        F.when(F.col("where").rlike(rf"(?i)^{plain}\s+OR\s"), "OR").otherwise("AND").alias("connector"),
+        F.arrays_zip(F.transform(F.regexp_extract_all("where", F.lit(_CONDITION), 1), lambda c: F.regexp_replace(c, "`", "")).alias("col"),
+                     F.transform(F.regexp_extract_all("where", F.lit(_CONDITION), 2), lambda v: v.try_cast("long")).alias("val")).alias("conds"))
+    good = F.col("text").rlike(_STATEMENT) & ((F.col("where") == "") | F.col("where").rlike(joined)) & ~F.exists("conds", lambda c: c["val"].isNull())
+    good = F.coalesce(good, F.lit(False))
+    if on_malformed == "drop":
+        found = found.where(good)
+    else:
+        fail = F.raise_error(F.concat(F.lit("malformed statement of query "), F.coalesce(F.col("query_id").cast("string"), F.lit("null"))))
+        found = found.withColumn("connector", F.when(good, F.col("connector")).otherwise(fail.cast("string")))
+    return _one_row_per_condition(found.select("query_id", "connector", "conds"))
+
+
 def _one_row_per_condition(q: DataFrame) -> DataFrame:
     """(query_id, connector, conds) to workload rows."""
     n = F.coalesce(F.greatest(F.size("conds"), F.lit(0)), F.lit(0))

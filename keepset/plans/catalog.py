@@ -451,10 +451,10 @@ def _text_pop_sql(n: int, max_conditions: int) -> str:
 
 @query("pop_generated_text", _text_pop_sql(1000, 3))
 def pop_generated_text(spark, sf_dir):
-    """Generated statements, AND and OR mixed, as a workload."""
+    """Statements, AND and OR mixed, as a workload that is read from their text alone."""
     orders = read(spark, sf_dir, "orders")
     texts = W.generate_sql_workload(orders.columns, "orders", _stats(spark, sf_dir, "orders"), 1000, 3, "o_orderkey")
-    return pop.popularity(orders, W.sql_conditions(texts), "o_orderkey")
+    return pop.popularity(orders, W.parse_sql_workload(texts.select("query_id", "sql_text")), "o_orderkey")
 
 
 # -- importance ------------------------------------------------------------

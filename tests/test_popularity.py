@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from keepset.operators import popularity as pop
 from keepset.operators.workload import workload_from_dicts
@@ -156,12 +157,41 @@ def test_a_long_query_does_not_widen_the_short_ones(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "Unique_ID long, " + ", ".join(f"{c} int" for c in names))
     queries = [{names[q % 20]: q % 4} for q in range(90)] + [{names[q % 20]: 1, names[(q + 5) % 20]: 2} for q in range(30)]
     queries += [dict(zip(names, rows[7]))]
-    lookups = popularity_slices(spark, queries, 150)
-    assert sorted(longest for longest, _ in lookups) == [1, 2, 20] and sum(n for _, n in lookups) == len(queries)
+    layout = pop._Layout(names, [False] * 20, [True] * 20, False, False)
+    workload, shape = workload_from_dicts(spark, queries), pop._Shape(longest=20, has_and=True, has_null=False)
+    lookup = pop._lookup(workload, layout, df, shape, pop._heat(df, layout))
+    assert lookup.columns == ["key", "times", "want", "rest"]
+    assert sorted({len(r["rest"]) for r in lookup.collect()}) == [0, 1, 19] and sum(r["times"] for r in lookup.collect()) == len(queries)
     assert as_dict(pop.popularity(df, queries, max_broadcast=150)) == {i: sum(all(r[names.index(c)] == v for c, v in q.items()) for q in queries) for i, r in enumerate(rows)}
 
 
-def popularity_slices(spark, queries, bound):
-    workload = workload_from_dicts(spark, queries)
-    parts = pop._slices(workload, pop._Shape(longest=max(map(len, queries)), has_and=True, has_null=False), bound)
-    return [(shape.longest, part.select("query_id").distinct().count()) for part, shape in parts]
+def test_a_hot_constant_is_split(spark):
+    """A third of the rows hold one constant and one id; no part of a key has much more than 1/1000 of the cells."""
+    df = spark.range(0, 60_000, 1, 40).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("Unique_ID"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50_000).alias("a"), (F.col("id") % 5).alias("b"))
+    layout = pop._Layout(["a", "b"], [False] * 2, [True] * 2, False, False)
+    split = pop._split(pop._heat(df, layout))
+    cells = df.select("Unique_ID", F.explode(F.slice(layout.cells(df), 1, 2)).alias("_key"))
+    sizes = [r["count"] for r in pop._dealt_cells(cells, split, ["Unique_ID"]).groupBy("_key", "_part").count().collect()]
+    assert split.count() < pop.PARTS and sum(sizes) == 120_000 and max(sizes) <= 20 * 120
+    many = [{"a": i} for i in range(30_000)] + [{"a": 7, "b": 1}, {"a": 7, "b": 2}]
+    found = pop.popularity(df, many, max_broadcast=1000)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i in range(60_000):
+        hot = i % 3 == 0
+        key, a = (-1, 7) if hot else (i, i % 50_000)
+        want[key] = want.get(key, 0) + (a < 30_000) + (a == 7 and i % 5 in (1, 2))
+    assert as_dict(found) == want
+
+
+def test_many_columns_of_single_conditions(spark):
+    names = [f"c{i}" for i in range(30)]
+    rows = [tuple((i * (j + 3)) % 7 if (i + j) % 11 else None for j in range(30)) for i in range(80)]
+    df = spark.createDataFrame([(i % 50, *r) for i, r in enumerate(rows)], "Unique_ID long, " + ", ".join(f"{c} int" for c in names))
+    queries = [{names[q % 30]: q % 8} for q in range(200)] + [{}]
+    found = pop.popularity(df, queries)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan
+    assert as_dict(found) == as_dict(pop.popularity(df, queries, max_case=0)) == as_dict(pop.popularity(df, queries, max_case=0, max_broadcast=1))
