@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepset.functions.hashing import hash_key
 from keepset.functions.vectors import STEPS, steps
@@ -24,9 +25,12 @@ from keepset.operators.points import dims_of, prepared_points, spread
 
 # Rows per matrix product.
 BLOCK = 4096
-# Candidates fetched per seeding pass, and seeds after which the running best
-# similarity is kept, so that a pass compares with the seeds since then only.
+# Candidates fetched per seeding pass: so many, or so many for each seed wanted up to a
+# bound; and seeds after which the running best similarity is kept, so that a pass
+# compares with the seeds since then only.
 CANDIDATES = 1024
+CANDIDATES_PER_SEED = 16
+MAX_CANDIDATES = 16_384
 SEEDS_PER_WRITE = 64
 
 
@@ -106,7 +110,7 @@ def first_point(points: DataFrame, seed: int) -> Medoids:
 
 
 def farthest_point(points: DataFrame, k: int, seed: int = 42, start: Medoids | None = None,
-                   candidates: int = CANDIDATES) -> Medoids:
+                   candidates: int | None = None) -> Medoids:
     """``k`` seeds: each next one is the point least similar to those chosen,
     ties to the smallest id; no id is chosen twice.
 
@@ -114,9 +118,12 @@ def farthest_point(points: DataFrame, k: int, seed: int = 42, start: Medoids | N
     seeds are often taken from them: a similarity only grows when seeds are
     added, so as long as the best of the fetched points is still below the
     last one fetched, no point left behind can beat it. The seeds are exactly
-    those of one pass per seed.
+    those of one pass per seed. More candidates are fetched for more seeds, so the passes stay few.
     """
     dims = dims_of(points)
+    if candidates is None:
+        candidates = min(max(CANDIDATES, CANDIDATES_PER_SEED * k), MAX_CANDIDATES)
+    id_type = points.schema["id"].dataType
     chosen = first_point(points, seed) if start is None else start
     if len(chosen) == 0:
         return chosen
@@ -129,7 +136,8 @@ def farthest_point(points: DataFrame, k: int, seed: int = 42, start: Medoids | N
             if len(ids) - written >= SEEDS_PER_WRITE:
                 work, written = running.persist(StorageLevel.MEMORY_AND_DISK), len(ids)
                 held.append(work)
-            least = (running.where(~F.col("id").isin(ids)).withColumn("_step", steps(F.col("_best")))
+            taken = points.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("id", id_type)]))  # fewer than k rows
+            least = (running.join(F.broadcast(taken), "id", "left_anti").withColumn("_step", steps(F.col("_best")))
                      .orderBy("_step", "id", *dims).limit(candidates).collect())
             if len(held) > 1:
                 held.pop(0).unpersist()  # its successor is filled by now
@@ -148,15 +156,21 @@ def _greedy(rows: list, dims: list[str], wanted: int, complete: bool) -> list[in
     """Places of the seeds that can be taken from the fetched rows."""
     x = np.array([[r[v] for v in dims] for r in rows])
     best = np.array([r["_best"] for r in rows])
-    limit = (rows[-1]["_step"], rows[-1]["id"], tuple(x[-1]))
-    open_rows, taken = set(range(len(rows))), []
-    while open_rows and len(taken) < wanted:
-        key = lambda i: (int(np.floor(best[i] * STEPS + 0.5)), rows[i]["id"], tuple(x[i]))
-        at = min(open_rows, key=key)
-        if not complete and key(at) > limit:
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["id"], tuple(x[i])))
+    rank = np.empty(len(rows), dtype=np.int64)
+    rank[order] = np.arange(len(rows))
+    numbers: dict = {}
+    same_id = np.array([numbers.setdefault(r["id"], len(numbers)) for r in rows])
+    limit, taken = (rows[-1]["_step"], rank[-1]), []
+    is_open = np.ones(len(rows), dtype=bool)
+    while len(taken) < wanted and is_open.any():
+        step = np.where(is_open, np.floor(best * STEPS + 0.5), np.inf)
+        ties = np.flatnonzero(step == step.min())
+        at = int(ties[rank[ties].argmin()])
+        if not complete and (step[at], rank[at]) > limit:
             break
         taken.append(at)
-        open_rows = {i for i in open_rows if rows[i]["id"] != rows[at]["id"]}
+        is_open &= same_id != same_id[at]
         best = np.maximum(best, x @ x[at])
     return taken
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from keepset.operators import clara as C
 from keepset.operators import kcenter as K
@@ -251,3 +252,24 @@ def test_clara_is_the_same_on_any_layout(spark):
     points = M_points(spark, rows)
     sets = [C.clara(points.repartition(n), 5, sample_size=200, restarts=3, seed=1).ids for n in (1, 4, 9)]
     assert sets[0] == sets[1] == sets[2]
+
+
+def test_many_seeds_take_few_passes(spark, monkeypatch):
+    """400 seeds: those of one pass per seed, in far fewer passes, with no id as a literal in the plan."""
+    df = spark.range(6000).select((F.col("id") % 5000).alias("id"), *[
+        (F.pmod(F.xxhash64("id", F.lit(c)), F.lit(2001)) - 1000).cast("double").alias(c) for c in "abcd"])
+    points = prepared_points(df, "id", list("abcd")).persist()
+    passes, near = [], M.nearest
+    monkeypatch.setattr(M, "nearest", lambda work, vectors: passes.append(len(vectors)) or near(work, vectors))
+    k = 400
+    found = M.farthest_point(points, k)
+    rows = points.collect()
+    ids, x = [r["id"] for r in rows], np.array([[r[f"v{i}"] for i in range(4)] for r in rows])
+    at = next(i for i, r in enumerate(rows) if r["id"] == found.ids[0] and np.allclose(x[i], found.vectors[0]))
+    points.unpersist()
+    ids, best, want = np.array(ids), np.full(len(ids), -2.0), []
+    for _ in range(k):  # one pass per seed
+        want.append(int(ids[at]))
+        best = np.maximum(best, x @ x[at])
+        at = min(np.flatnonzero(~np.isin(ids, want)), key=lambda i: (math.floor(best[i] * 1e9 + 0.5), ids[i]))
+    assert found.ids == want and len(passes) <= k // 10
