@@ -666,7 +666,38 @@ def clara_samples_folded(spark, sf_dir):
     return _rounded(C.clara_samples(points, 0.2, 4, SEED))
 
 
-@query("medoids_clara")
+CLARA_ROUNDS = 50  # the most a sample takes
+
+
+def _clara_sql(table: str, id_col: str, cols: list[str], k: int, size: int = 20_000, restarts: int = 8) -> str:
+    """The samples of all restarts clustered side by side, then the set of least cost over the whole table."""
+    d = range(1, len(cols) + 1)
+    drawn = Q.uniform(f"restart + {SEED}", "id", *[Q.steps(f"v[{i}]") + "::BIGINT" for i in d])
+    near = Q.dot("s.v", "m.v")
+    parts = [f"""WITH u AS ({Q.unit_rows(table, id_col, cols)}), f AS (SELECT least(1::DOUBLE, {max(size, 2 * k)} / count(*)::DOUBLE) AS share FROM u),
+    s AS (SELECT row_number() OVER () AS row_no, restart, id, v, greatest(1, round(n * share)) AS copies
+          FROM (SELECT id, v, count(*) AS n FROM u GROUP BY 1, 2), f, (SELECT range::INTEGER AS restart FROM range({restarts})) WHERE {drawn} < n * share),
+    m0 AS (SELECT restart, 0 AS cid, id, v FROM s QUALIFY row_number() OVER (PARTITION BY restart ORDER BY md5(concat_ws('|', restart + {SEED}, id)), id, v) = 1)"""]
+    for j in range(1, k):
+        parts.append(f"""m{j} AS (SELECT * FROM m{j - 1} UNION ALL (
+            SELECT restart, {j} AS cid, id, v FROM (
+                SELECT s.restart, s.id, s.v, max({near}) AS best FROM s JOIN m{j - 1} m ON s.restart = m.restart
+                GROUP BY s.restart, s.row_no, s.id, s.v HAVING NOT bool_or(s.id = m.id))
+            QUALIFY row_number() OVER (PARTITION BY restart ORDER BY {Q.steps("best")}, id, v) = 1))""")
+    medoids, sums = f"m{k - 1}", ", ".join(f"sum(copies * v[{i}])" for i in d)
+    for i in range(CLARA_ROUNDS):
+        parts += [f"""a{i} AS (SELECT s.restart, row_no, s.id, s.v, copies, arg_min(m.cid, [-{Q.steps(near)}, m.cid]) AS cid
+                  FROM s JOIN {medoids} m ON s.restart = m.restart GROUP BY s.restart, row_no, s.id, s.v, copies)""",
+                  f"c{i} AS (SELECT restart, cid, sum(copies) AS n, [{sums}] AS s FROM a{i} GROUP BY 1, 2)",
+                  f"""p{i} AS (SELECT a.restart, a.cid, a.id, a.v FROM a{i} a JOIN c{i} c ON a.restart = c.restart AND a.cid = c.cid
+                  QUALIFY row_number() OVER (PARTITION BY a.restart, a.cid ORDER BY {Q.steps(Q.dot("a.v", "c.s") + " / c.n")} DESC, a.id, a.v) = 1)"""]
+        medoids = f"p{i}"
+    cost = f"""SELECT restart, sum(n * (1 - sim)) AS cost FROM (
+        SELECT restart, g.id, g.v, n, max({Q.dot("g.v", "m.v")}) AS sim FROM (SELECT id, v, count(*) AS n FROM u GROUP BY 1, 2) g, {medoids} m GROUP BY 1, 2, 3, 4) GROUP BY 1"""
+    return ", ".join(parts) + f" SELECT cid, id FROM {medoids} WHERE restart = (SELECT arg_min(restart, [cost, restart]) FROM ({cost}))"
+
+
+@query("medoids_clara", _clara_sql("lineitem", "l_orderkey", LINE_FEATURES, 10))
 def medoids_clara(spark, sf_dir):
     return C.clara_medoids(read(spark, sf_dir, "lineitem"), "l_orderkey", LINE_FEATURES, 10,
                            seed=SEED)
