@@ -134,6 +134,28 @@ def test_banded_distance():
             assert lines.within(a, b, edits) == (distance(a, b) <= edits)
 
 
+def test_distances_of_many_pairs():
+    rng = random.Random(4)
+    one, two, edits = [], [], []
+    for t in range(5000):
+        a = "".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 5, 20, 45, 70, 140])))
+        b = edited(rng, a, rng.randrange(14)) if t % 7 else "".join(rng.choice("abc") for _ in range(len(a)))
+        one.append(b if t % 2 else a), two.append(a if t % 2 else b), edits.append(rng.choice([0, 1, 2, 3, 5, 7, 20, 31, 40]))
+    want = [lines.within(a, b, k) for a, b, k in zip(one, two, edits)]
+    assert lines.within_each(one, two, np.array(edits)).tolist() == want and 1000 < sum(want) < 4500
+    assert lines.within_each([], [], np.array([], dtype=np.int64)).tolist() == []
+
+
+def test_parities_change_by_four_an_edit():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = "".join(rng.choice("abcdé𝄞 ") for _ in range(rng.choice([20, 60, 300])))
+        n = rng.randrange(5)
+        both = sorted([a, edited(rng, a, n)], key=len)
+        odd = lines.signatures(both, 2, False)[3].view(np.uint64)
+        assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= 4 * n
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_line_classes_against_all_pairs(spark, edits):
     rng = random.Random(edits)
