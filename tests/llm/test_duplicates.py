@@ -182,6 +182,29 @@ def test_line_classes_against_all_pairs(spark, edits):
     assert len(pairs) > 20 and found == want
 
 
+def test_dense_keys_are_compared_in_blocks(spark, monkeypatch):
+    """Near copies of one line at many distances, with every key dense and many blocks, against all pairs."""
+    monkeypatch.setattr(lines, "_DENSE", 30)
+    monkeypatch.setattr(lines, "_BLOCK", 16)
+    monkeypatch.setattr(lines, "_GRID", 100)
+    rng = random.Random(8)
+    bases = ["".join(rng.choice("abcdefgh ") for _ in range(n - 2)).join("xy") for n in (30, 64, 150)]
+    texts = [edited(rng, base, rng.randrange(10)) for base in bases for _ in range(100)]
+    texts += [edited(rng, "ab" * n, rng.randrange(4)) for n in (30, 31, 75) for _ in range(30)]  # the same window at many places
+    distinct = sorted({t.strip() for t in texts})
+    pairs = [(a, b) for i, a in enumerate(distinct) for b in distinct[:i]
+             if abs(len(a) - len(b)) <= 7 and distance(a, b) <= lines.allowed(min(len(a), len(b)), None)]
+    component, degree = union(pairs, distinct), defaultdict(int)
+    for a, b in pairs:
+        degree[a] += 1
+        degree[b] += 1
+    first = {}
+    for d, t in enumerate(texts):
+        first.setdefault(component[t.strip()], d)
+    found = {r.doc_id: (r.class_doc, r.n_links) for r in lines.line_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), None).collect()}
+    assert len(pairs) > 1000 and found == {d: (first[component[t.strip()]], degree[t.strip()]) for d, t in enumerate(texts)}
+
+
 def test_lines_dropped(spark, docs, edges, edge_rows):
     a, b = "this line is long enough to count here", "another line that is long enough too"
     rows = [(1, f"{a}\nhead\n{b}"), (2, f"head\n{a[:-1]}\nnothing like the others, all alone"), (3, f"{b}\n  {a}  "), (4, None), (5, ""), (6, "head")]
