@@ -23,6 +23,8 @@ from keepset.operators.popularity import popularity
 # An id with more than 1/HOT_SHARE of the rows is joined by broadcast; there
 # are fewer than HOT_SHARE such ids whatever the data.
 HOT_SHARE = 1000
+# Rows of one of the other ids that meet in one task of a shuffled join, about.
+ROWS_PER_TASK = 1_000_000
 
 
 def average_dissimilarity(df: DataFrame, feature_cols: list[str], id_col: str = "Unique_ID", *,
@@ -50,7 +52,8 @@ def importance(df: DataFrame, queries: DataFrame | list[dict], feature_cols: lis
 
 
 def summed_importance(df: DataFrame, pop_col: str = "popularity", id_col: str = "Unique_ID",
-                      feature_cols: list[str] | None = None, *, on_null: str = "error") -> DataFrame:
+                      feature_cols: list[str] | None = None, *, on_null: str = "error",
+                      rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(id, importance, set_importance), one row per input row.
 
     ``importance`` is the row's popularity, read from ``pop_col``, times the
@@ -71,7 +74,7 @@ def summed_importance(df: DataFrame, pop_col: str = "popularity", id_col: str =
     of_id = F.col("weight") * (F.col("all_n") - F.col("n")) - dot(weighted, F.col("rest"))
     set_importance = by_id.agg((F.sum(of_id) / F.max("all_n")).alias("mean")).scalar()
 
-    joined = _join_by_id(rows, by_id.select("id", "n", "all_n", "rest"))
+    joined = _join_by_id(rows, by_id.select("id", "n", "all_n", "rest"), rows_per_task)
     similar = dot_columns([F.col(v) for v in dims], [F.get("rest", F.lit(i)) for i in range(len(dims))])
     summed = (F.col("all_n") - F.col("n")) - similar
     return joined.select("id", (weight * summed).alias("importance"),
@@ -111,14 +114,28 @@ def _with_average(by_id: DataFrame, dims: list[str]) -> DataFrame:
     return beside.withColumn("avg_dissim", F.lit(1.0) - dot(own, F.col("rest")) / pairs)
 
 
-def _join_by_id(rows: DataFrame, lookup: DataFrame) -> DataFrame:
+def _join_by_id(rows: DataFrame, lookup: DataFrame, rows_per_task: int) -> DataFrame:
     """Rows with their id's line of ``lookup``, hot ids without a shuffle.
 
     The rows of an id that holds a large share of the table would all meet in
     one task of a shuffled join. Such ids are few by arithmetic, so their lines
-    are broadcast and only the other rows are shuffled.
+    are broadcast and only the other rows are shuffled, see ``_dealt``.
     """
     hot = lookup.where(F.col("n") * HOT_SHARE > F.col("all_n"))
     cold = lookup.where(F.col("n") * HOT_SHARE <= F.col("all_n"))
-    return (rows.join(F.broadcast(hot), "id")
-            .unionByName(rows.join(F.broadcast(hot.select("id")), "id", "left_anti").join(cold, "id")))
+    dealt, lines = _dealt(rows.join(F.broadcast(hot.select("id")), "id", "left_anti"), cold, rows_per_task)
+    return rows.join(F.broadcast(hot), "id").unionByName(dealt.join(lines, ["id", "_part"]).drop("_part"))
+
+
+def _dealt(rows: DataFrame, lookup: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``_part``: an id of more than ``rows_per_task`` rows is
+    split into parts of about so many, and its line stands in each of them.
+
+    Fewer than ``all_n / rows_per_task`` ids are split, of which the id and a
+    number are broadcast. The part hangs on the place of a row, so equal rows part as well.
+    """
+    parts = F.ceil(F.col("n") / rows_per_task).cast("int")
+    split = lookup.where(F.col("n") > rows_per_task).select("id", parts.alias("_parts"))
+    place = F.xxhash64(F.monotonically_increasing_id())
+    dealt = rows.join(F.broadcast(split), "id", "left").withColumn("_part", F.pmod(place, F.coalesce("_parts", F.lit(1))).cast("int"))
+    return dealt.drop("_parts"), lookup.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))

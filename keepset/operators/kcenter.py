@@ -1,10 +1,15 @@
-"""k centers in two rounds: farthest points per shard, then among the picks.
+"""k centers in rounds: farthest points per shard, then among the picks.
 
-Each shard picks ``k`` of its rows, farthest first; the picks of all shards
-are few enough for the exact selection. The number of shards grows with the
-table so that none holds more than about ``ROWS_PER_SHARD`` rows. With one shard
-this is plain farthest-point selection. A caller may ask for a sample of each
-shard; if that has too few ids the rest is taken from the whole table.
+Each shard picks ``k`` of its rows, farthest first. The number of shards grows
+with the table so that none holds more than about ``rows_per_shard`` rows. While
+the picks are more than that, they are dealt to fewer shards and picked from
+again: a tree of merges. The exact selection follows on what is left. With one
+shard this is plain farthest-point selection. A caller may ask for a sample of
+each shard; if that has too few ids the rest is taken from the whole table.
+
+In chord lengths, ``sqrt(2 * dissimilarity)``, a round moves a row by at most
+twice the best possible radius, so with ``r`` rounds, the exact one among them,
+every row lies within ``2 * r`` times that radius of a pick.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import functions as F
 from keepset.functions.hashing import hash_key, uniform, uniform_index
 from keepset.functions.vectors import steps
 from keepset.operators.clara import add_farthest
-from keepset.operators.medoids import Medoids, farthest_point, kept_ids
+from keepset.operators.medoids import Medoids, farthest_point, kept_ids, nearest
 from keepset.operators.points import dims_of, prepared_points, spread
 
 ROWS_PER_SHARD = 100_000
@@ -48,30 +53,44 @@ def shard_centers(points: DataFrame, k: int, shards: int, fraction: float, seed:
 
 
 def kcenter(points: DataFrame, k: int, shards: int = 100, per_shard_sample: int | None = None,
-            seed: int = 42) -> Medoids:
+            seed: int = 42, rows_per_shard: int = ROWS_PER_SHARD) -> Medoids:
     n = points.count()
     if n and k > n:
         raise ValueError(f"{k} rows are to be kept, but there are only {n}")
-    shards = max(shards, -(-n // ROWS_PER_SHARD)) if per_shard_sample is None else shards
+    shards = max(shards, -(-n // rows_per_shard)) if per_shard_sample is None else shards
     fraction = 1.0 if per_shard_sample is None else min(1.0, max(shards * per_shard_sample, 2 * k) / max(n, 1))
     centers = shard_centers(points, k, shards, fraction, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [centers]
     try:
+        picks = centers.count()
+        while picks > rows_per_shard:
+            merged = shard_centers(centers, k, -(-picks // rows_per_shard), 1.0, seed).persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(merged)
+            if (left := merged.count()) >= picks:
+                break  # shards of k rows or less
+            centers, picks = merged, left
         ids = centers.select(F.count_distinct("id")).first()[0]
         chosen = farthest_point(centers, min(k, ids), seed) if ids else farthest_point(points, k, seed)
         return chosen if len(chosen) == k else farthest_point(points, k, seed, start=chosen)
     finally:
-        centers.unpersist()
+        for one in held:
+            one.unpersist()
+
+
+def covering_radius(points: DataFrame, chosen: Medoids) -> float | None:
+    """The largest dissimilarity of a point to its nearest chosen row, None without points. One pass."""
+    return nearest(points, chosen.vectors).agg(F.lit(1.0) - F.min("sim")).first()[0]
 
 
 def kcenter_medoids(df: DataFrame, id_col: str, numeric_cols: list[str], t_keep: int, *,
                     shards: int = 100, per_shard_sample: int | None = None, seed: int = 42,
-                    on_null: str = "error") -> DataFrame:
+                    on_null: str = "error", rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """(cid, id) of ``t_keep`` rows chosen to be far apart."""
     if t_keep <= 0:
         raise ValueError("at least one row has to be kept")
     points = spread(prepared_points(df, id_col, numeric_cols, on_null=on_null)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        chosen = kcenter(points, t_keep, shards, per_shard_sample, seed)
+        chosen = kcenter(points, t_keep, shards, per_shard_sample, seed, rows_per_shard)
     finally:
         points.unpersist()
     return kept_ids(df, id_col, chosen)

@@ -712,30 +712,49 @@ def medoids_clara_pca(spark, sf_dir):
 SHARDS = 100  # the default; it grows from ten million rows on
 
 
-def _kcenter_sql(k: int) -> str:
-    """Farthest points of each shard, one step per CTE, then among all picks."""
+def _kcenter_sql(k: int, *shards: str) -> str:
+    """Farthest points of each shard, one step per CTE, level by level, then among all picks.
+
+    ``shards`` are the numbers of shards of the levels; they may count ``picks0``, the picks of the first level, and so on.
+    """
     dealt = Q.uniform(SEED, "'shard'", "id", *[Q.steps(f"v[{i}]") + "::BIGINT" for i in (1, 2, 3)])
+    parts, source = [f"WITH l AS MATERIALIZED (SELECT DISTINCT id, v FROM ({_unit_sql('lineitem')}))"], "l"
+    for level, number in enumerate(shards):
+        b, c = f"b{level}_", f"c{level}_"
+
+        def pick(j: int, order: str) -> str:
+            return f"""{c}{j} AS MATERIALIZED (SELECT shard, id, v FROM (SELECT *, row_number() OVER (
+                PARTITION BY shard ORDER BY {order}) AS place FROM {b}{j}) WHERE place = 1)"""
+
+        parts += [f"{b}0 AS MATERIALIZED (SELECT id, v, floor({dealt} * {number})::INTEGER AS shard, -2::DOUBLE AS best FROM {source})",
+                  pick(0, f"md5(concat_ws('|', {SEED}, id)), id, v")]
+        for j in range(1, k):
+            near = Q.dot("b.v", "c.v")
+            parts += [f"""{b}{j} AS MATERIALIZED (SELECT b.id, b.v, b.shard, greatest(b.best, {near}) AS best
+                      FROM {b}{j - 1} b JOIN {c}{j - 1} c ON b.shard = c.shard WHERE b.id <> c.id)""",
+                      pick(j, f"{Q.steps('best')}, id, v")]
+        source = f"picks{level}"
+        picks = " UNION ALL ".join(f"SELECT id, v FROM {c}{j}" for j in range(k))
+        parts.append(f"{source} AS MATERIALIZED ({picks})")
+    return ", ".join([*parts, f"u AS (SELECT id, v FROM {source})", _seeds(k)]) + f" SELECT cid, id FROM m{k - 1}"
+
+
+@query("kcenter_sharded", _kcenter_sql(20, str(SHARDS)))
+def kcenter_sharded(spark, sf_dir):
+    return K.kcenter_medoids(read(spark, sf_dir, "lineitem"), "l_orderkey", LINE_FEATURES, 20,
+                             seed=SEED)
 
-    def pick(j: int, order: str, where: str = "") -> str:
-        return f"""c{j} AS MATERIALIZED (SELECT shard, id, v FROM (SELECT *, row_number() OVER (
-            PARTITION BY shard ORDER BY {order}) AS place FROM b{j}{where}) WHERE place = 1)"""
 
-    parts = [f"WITH l AS MATERIALIZED (SELECT DISTINCT id, v FROM ({_unit_sql('lineitem')}))",
-             f"b0 AS MATERIALIZED (SELECT id, v, floor({dealt} * {SHARDS})::INTEGER AS shard, -2::DOUBLE AS best FROM l)",
-             pick(0, f"md5(concat_ws('|', {SEED}, id)), id, v")]
-    for j in range(1, k):
-        near = Q.dot("b.v", "c.v")
-        parts += [f"""b{j} AS MATERIALIZED (SELECT b.id, b.v, b.shard, greatest(b.best, {near}) AS best
-                  FROM b{j - 1} b JOIN c{j - 1} c ON b.shard = c.shard WHERE b.id <> c.id)""",
-                  pick(j, f"{Q.steps('best')}, id, v")]
-    picks = " UNION ALL ".join(f"SELECT id, v FROM c{j}" for j in range(k))
-    return ", ".join([*parts, f"u AS MATERIALIZED ({picks})", _seeds(k)]) + f" SELECT cid, id FROM m{k - 1}"
+PER_SHARD = 300  # rows; more of them than shards of the default number hold, and a level with one shard alters nothing
 
 
-@query("kcenter_sharded", _kcenter_sql(20))
-def kcenter_sharded(spark, sf_dir):
+@query("kcenter_tree", _kcenter_sql(
+    20, f"(SELECT greatest({SHARDS}, ceil(count(*) / {PER_SHARD}::DOUBLE)) FROM lineitem)",
+    *[f"(SELECT ceil(count(*) / {PER_SHARD}::DOUBLE) FROM picks{level})" for level in range(2)]))
+def kcenter_tree(spark, sf_dir):
+    """More shards than the default number, their picks merged level by level."""
     return K.kcenter_medoids(read(spark, sf_dir, "lineitem"), "l_orderkey", LINE_FEATURES, 20,
-                             seed=SEED)
+                             seed=SEED, rows_per_shard=PER_SHARD)
 
 
 # -- the reduced table -----------------------------------------------------

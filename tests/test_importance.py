@@ -71,6 +71,29 @@ def test_sum_with_hot_and_cold_ids(spark, monkeypatch):
         assert all(math.isclose(r["set_importance"], mean, abs_tol=1e-7) for r in found)
 
 
+def test_ids_below_the_hot_share_are_split_by_count(spark):
+    n, often, bound = 200_000, 180, 40  # the id has 0.09 % of the rows
+    rows = spark.range(n, numPartitions=6).select(
+        F.when(F.col("id") % (n // often) == 0, -1).otherwise(F.col("id")).alias("id"),
+        F.lit(1.0).alias("v0"))  # all rows of the id are equal
+    counts = rows.groupBy("id").agg(F.count("*").alias("n"))
+    dealt, lines = imp._dealt(rows, counts, bound)
+    assert dealt.count() == n
+    found = dealt.join(lines, ["id", "_part"]).groupBy("id", "_part").count().groupBy("id").agg(
+        F.sum("count").alias("n"), F.max("count").alias("most"), F.count("*").alias("parts")).where("n > 1").collect()
+    assert len(found) == 1 and found[0]["n"] == 181 and found[0]["parts"] == 5
+    assert found[0]["most"] <= 2 * bound
+
+
+def test_sum_of_split_ids(spark):
+    rng = random.Random(7)
+    rows = [(i % 4, rng.uniform(-1, 1), rng.uniform(-1, 1), rng.random()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, popularity double")
+    found = [sorted((r["id"], round(r["importance"], 9)) for r in imp.summed_importance(df, id_col="id", rows_per_task=bound).collect())
+             for bound in (3, 10**6)]
+    assert found[0] == found[1] and len(found[0]) == 90
+
+
 def test_edge_tables(spark):
     table = lambda rows: spark.createDataFrame(rows, "id int, x double, y double")
     found = {r["id"]: r["avg_dissim"] for r in imp.average_dissimilarity(

@@ -247,6 +247,26 @@ def test_kcenter_looks_at_every_row(spark):
     assert len(set(K.kcenter(points, 300, shards=2, per_shard_sample=10).ids)) == 300  # the sample is topped up
 
 
+def test_kcenter_tree_keeps_the_proven_radius(spark):
+    rng = random.Random(9)
+    rows = [(i, *[rng.gauss(0, 1) for _ in range(4)]) for i in range(3000)]
+    points = prepared_points(spark.createDataFrame(rows, "id long, a double, b double, c double, d double"), "id", list("abcd"))
+    chord = lambda chosen: math.sqrt(2 * K.covering_radius(points, chosen))
+    best_known = chord(M.farthest_point(points, 12, 3))
+    flat, tree = K.kcenter(points, 12, shards=4, seed=3), K.kcenter(points, 12, shards=4, seed=3, rows_per_shard=100)
+    assert len(set(tree.ids)) == 12 and tree.ids != flat.ids
+    assert chord(flat) <= 2 * 2 * best_known
+    assert chord(tree) <= 2 * 4 * best_known  # 3,000 rows, 360 picks, 48 picks, 12
+    want = max(1 - max(sum(x * y for x, y in zip(r, v)) for v in tree.vectors) for r in points.select(*dims_of(points)).collect())
+    assert math.isclose(K.covering_radius(points, tree), want, abs_tol=1e-12)
+
+
+def test_kcenter_tree_ends_where_nothing_shrinks(spark):
+    points = prepared_points(spark.createDataFrame([(i, float(i % 37 + 1), float(i)) for i in range(200)], "id long, a double, b double"), "id", ["a", "b"])
+    assert len(set(K.kcenter(points, 50, shards=2, rows_per_shard=10).ids)) == 50
+    assert K.covering_radius(points.limit(0), K.kcenter(points, 2)) is None
+
+
 def test_clara_is_the_same_on_any_layout(spark):
     rows = [(i % 150, float(i % 13 + 1), float(i % 11), float(i % 7)) for i in range(900)]
     points = M_points(spark, rows)
