@@ -9,8 +9,8 @@
    (document, item, shift), spread over as many keys as there are occurrences.
 4. The documents found so are read once more and every word of the item is held
    against the text at that shift: exact phrases. With ``slop``, shifts may differ
-   by so many words, and windows whose words stand in order within that slack are
-   returned as proximity matches.
+   by so many words, and windows that no phrase at that shift covers and whose words
+   stand in order within that slack are returned as proximity matches.
 
 The benchmark is worked off in slices of at most ``SLICE_BYTES``, so what goes to
 the tasks is bounded; the documents are never shuffled whole, only those that have
@@ -204,9 +204,11 @@ def _verified(docs: DataFrame, candidates: DataFrame, items: Items, slop: int, s
                     a, b = max(0, -shift), min(len(wanted), len(found) - shift)
                     equal = np.fromiter((found[shift + k] == wanted[k] for k in range(a, b)), dtype=bool, count=max(0, b - a))
                     hits = [(shift + a + s, n, "phrase") for s, n in _runs(equal, min(items.window, len(wanted)))]
-                    if slop and not hits:
-                        near = (_near(found, wanted, s, n, shift, slop) for s, n in items.windows(j))
-                        hits = [(*hit, "proximity") for hit in near if hit]
+                    if slop:
+                        exact = [(first - shift, first - shift + n) for first, n, _ in hits]
+                        rest = [(s, n) for s, n in items.windows(j) if not any(a <= s and s + n <= e for a, e in exact)]
+                        near = ((_near(found, wanted, s, n, shift, slop), n) for s, n in rest)
+                        hits += [(*hit, "proximity") for hit, n in near if hit and hit[1] > n]  # without a gap it is a phrase at another shift
                     for hit in hits:
                         if (j, hit) not in seen:
                             seen.add((j, hit))

@@ -69,6 +69,15 @@ def test_proximity(docs, spark):
     assert {(r.doc_id, r.kind, r.length) for r in hits.collect()} == {(1, "phrase", 10), (2, "proximity", 11)}
 
 
+def test_proximity_beside_a_phrase(docs, spark):
+    item = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([*item[:12], "new", *item[12:]])), (2, " ".join(item)), (3, " ".join([*item[:12], "a", "b", "c", *item[12:]]))]
+    hits, _ = decontamination.matches(docs(rows), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), slop=2)
+    found = sorted((r.doc_id, r.kind, r.start, r.length) for r in hits.collect())
+    across = [(1, "proximity", s, 11) for s in range(3, 12)]  # windows on both sides of the word
+    assert found == sorted([(1, "phrase", 0, 12), (1, "phrase", 13, 18), *across, (2, "phrase", 0, 30), (3, "phrase", 0, 12), (3, "phrase", 15, 18)])
+
+
 def test_decontamination_edges(spark, edges, edge_rows):
     none = spark.createDataFrame([], "item_id long, text string")
     found = decontamination.contamination(edges, none).collect()
