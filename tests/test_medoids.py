@@ -293,3 +293,28 @@ def test_many_seeds_take_few_passes(spark, monkeypatch):
         best = np.maximum(best, x @ x[at])
         at = min(np.flatnonzero(~np.isin(ids, want)), key=lambda i: (math.floor(best[i] * 1e9 + 0.5), ids[i]))
     assert found.ids == want and len(passes) <= k // 10
+
+
+def test_rounds_read_points_packed_once(cloud, monkeypatch):
+    points = prepared_points(cloud, "id", ["a", "b", "c"])
+    blocks = M.packed(points.repartition(3)).cache()
+    assert blocks.count() == 3  # a pass hands over a row for each batch of points, not one for each point
+    seeds = M.farthest_point(points, 4)
+    near = {r["cid"]: r for r in M.cluster_sums(M.nearest(points, seeds.vectors)).collect()}
+    for r in M.assigned_sums(blocks, seeds.vectors).collect():
+        assert r["n"] == near[r["cid"]]["n"] and tuple(r) == pytest.approx(tuple(near[r["cid"]]))
+    assert M.medoid_update(points, seeds, blocks) == M.medoid_update(points, seeds)
+    made, pack = [], M.packed
+    monkeypatch.setattr(M, "packed", lambda df: made.append(df) or pack(df))
+    want = seeds
+    for _ in range(3):
+        want = M.pam_round(points, want, blocks)
+    assert M.pam(points, 4, start=M.first_point(points, 42), max_iter=3).ids == want.ids and len(made) == 1
+
+
+def test_packed_points_keep_ids_of_any_kind(spark):
+    rows = [("é", 1., 0.), ("a", 1., 0.), ("z", 0., 1.), ("z", 0., 2.), ("b", 1., 1e-3)]
+    for kind in ("string", "binary"):
+        df = spark.createDataFrame(rows, "id string, x double, y double").withColumn("id", F.col("id").cast(kind))
+        found = sorted(bytes(r["id"]) if kind == "binary" else r["id"].encode() for r in M.pam_medoids(df, "id", XY, 2).collect())
+        assert found == [b"a", b"z"]
