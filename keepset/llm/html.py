@@ -3,22 +3,24 @@
 1. A tolerant scan of the markup gives the page's blocks. Scripts, styles, menus,
    headers, footers, sidebars, forms, adverts, notices and reader comments are
    told by element, role or class name and left out; a name never leaves out an
-   article or main element, or what holds one, but comments stay out. Blocks inside an article or
-   main element are the main text as they stand: passages that articles share are
-   theirs and stay.
-2. Pages without such an element leave their blocks open. Their token streams are
-   concatenated by host; a suffix array (prefix doubling, then neighbours in order)
-   finds runs of at least ``MIN_RUN`` tokens that distinct pages share. Covered
-   tokens are boilerplate and go, unique runs stay. Pages with equal streams count
-   as one page, so a copied page keeps its text.
+   article or main element, or what holds one, but comments stay out.
+2. The token streams of what is left are concatenated by host; a suffix array (prefix
+   doubling, then neighbours in order) finds the runs of ``MIN_RUN`` tokens that distinct
+   pages share. Tokens that repeated runs cover are boilerplate and go, the others stay.
+   Pages with equal streams count as one page, so a copied page keeps its text.
+3. Inside an article or main element a run is boilerplate if it stands on ``COMMON_SHARE``
+   of the host's distinct pages, at least on ``COMMON_PAGES``: a notice or menu without a
+   telling name. Passages that some articles share are theirs and stay. Pages without
+   such an element leave their blocks open: there a second page is enough.
 
 A large host is dealt to chunks of bounded size. Each chunk's suffix array gives its
 distinct runs with their first and last page, and these are merged by run: no task
-holds a host, and the result is the same as from one array.
+holds a host, and the result is the same as from one array. A run that is common on a host
+is as common in one of its chunks at least, so chunks name candidates, of which all count their pages.
 
 Repetition alone cannot give the text that is asked for: menus, adverts and
-footers of a page may be unlike all others, while articles share passages. So it
-decides only what the markup leaves open.
+footers of a page may be unlike all others, while articles share passages. So the
+markup decides first.
 
 Null or empty html gives empty text. Repeated rows each get their text. Broken
 markup (unclosed tags, cut references) never fails. Only the named columns are read.
@@ -42,6 +44,8 @@ from keepset.llm.urls import host
 
 MIN_RUN = 8
 CHUNK_TOKENS = 2_000_000
+CHUNK_CHARS = 8_000_000  # html of a chunk of pages with an article or main element
+COMMON_SHARE, COMMON_PAGES = 0.9, 10
 # Elements and names of HTML and of common page layouts.
 _RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -187,6 +191,15 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
+def run_hashes(tokens: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """The hash of the ``least`` tokens from each place on."""
+    hashes = np.zeros(len(at), dtype=np.uint64)
+    for k in range(least):
+        hashes = (hashes ^ tokens[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return hashes
+
+
 def shared_runs(streams: list[np.ndarray], pages: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Every distinct run of ``least`` tokens of the concatenated streams.
 
@@ -208,10 +221,7 @@ def shared_runs(streams: list[np.ndarray], pages: list[int], least: int) -> tupl
     run[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     page = np.array(pages, dtype=np.int64)[row[order]]
-    hashes = np.zeros(len(first), dtype=np.uint64)
-    for k in range(least):
-        hashes = (hashes ^ tokens[order[first] + k]) * np.uint64(0x9E3779B97F4A7C15)
-        hashes ^= hashes >> np.uint64(29)
+    hashes = run_hashes(tokens, order[first], least)
     return hashes, np.minimum.reduceat(page, first), np.maximum.reduceat(page, first), run, row
 
 
@@ -293,17 +303,94 @@ def open_pages_cleaned(open_pages: DataFrame, least: int = MIN_RUN, chunk_tokens
     return placed.mapInArrow(local, "row long, text string").union(large.mapInArrow(cut, "row long, text string"))
 
 
+def common_runs(streams: DataFrame, sizes: DataFrame, least: int = MIN_RUN, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """``host, runs``: hashes of the runs that are common on a host's pages (``host, stream, parts``); ``sizes``:
+    ``host, chars``, by which hosts are dealt to chunks. Equal streams are one page.
+
+    A host has no more such runs than a page has tokens, divided by ``COMMON_SHARE``.
+    """
+    large = sizes.where(F.col("chars") > chunk_chars).select("host", F.ceil(F.col("chars") / chunk_chars).cast("int").alias("chunks"))
+    placed = (streams.join(F.broadcast(large), "host", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+              .withColumn("chunk", F.pmod("stream", "chunks")))
+    placed = placed.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "stream")
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, np.ndarray, np.ndarray]]:
+        """A chunk of distinct pages, their number, its runs and on how many pages each stands."""
+        for group in runs(batches, ["host", "chunk"]):
+            stream = group.column("stream").to_numpy()
+            group = group.take(pa.array(np.flatnonzero(np.append(True, stream[1:] != stream[:-1]))))
+            found = [_stream(p) for p in group.column("parts").to_pylist()]
+            hashes, _, _, run, row = shared_runs(found, list(range(len(found))), least)
+            both = np.unique(run[run >= 0] * len(found) + row[run >= 0])
+            yield group, len(found), hashes, np.bincount(both // len(found), minlength=len(hashes))
+
+    def common(pages, n):
+        return (pages >= COMMON_SHARE * n) & (pages >= COMMON_PAGES)
+
+    def lists_of(named: list[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if named:
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in named], pa.string()),
+                                              pa.array([r.view(np.int64) for _, r in named], pa.list_(pa.int64()))], ["host", "runs"])
+
+    def named(whole: bool):
+        def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group, n, hashes, pages in counted(batches):
+                kept = hashes[common(pages, n) if whole else pages >= COMMON_SHARE * n]
+                yield from lists_of([(group.column("host")[0].as_py(), kept)] if len(kept) else [])
+        return task
+
+    def recounted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, n, hashes, pages in counted(batches):
+            asked = np.unique(np.array(group.column("runs")[0].as_py() or [], dtype=np.int64)).view(np.uint64)
+            held = np.isin(hashes, asked)
+            run, pages = np.append(hashes[held].view(np.int64), 0), np.append(pages[held], n)  # the last row: all pages
+            yield pa.RecordBatch.from_arrays([pa.array([group.column("host")[0].as_py()] * len(run), pa.string()), pa.array(run),
+                                              pa.array(np.arange(len(run)) == len(run) - 1), pa.array(pages.astype(np.int64))],
+                                             ["host", "run", "every", "pages"])
+
+    whole = placed.where("chunks = 1").mapInArrow(named(True), "host string, runs array<long>")
+    split = placed.where("chunks > 1")
+    asked = stored(split.mapInArrow(named(False), "host string, runs array<long>").select("host", F.explode("runs").alias("run"))
+                   .groupBy("host").agg(F.collect_set("run").alias("runs")), "asked-runs")
+    pages = split.join(asked, "host").repartition("host", "chunk").sortWithinPartitions("host", "chunk", "stream").mapInArrow(
+        recounted, "host string, run long, every boolean, pages long").groupBy("host", "run", "every").agg(F.sum("pages").alias("pages"))
+    pages = stored(pages, "run-pages")
+    every = pages.where("every").select("host", F.col("pages").alias("n"))
+    found = (pages.where("NOT every").join(every, "host").where(common(F.col("pages"), F.col("n")))
+             .groupBy("host").agg(F.collect_list("run").alias("runs")))
+    return stored(whole.union(found), "common-runs")
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least: int = MIN_RUN,
-              chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+              chunk_tokens: int = CHUNK_TOKENS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``id, url, text`` for each page."""
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
+    def streams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # a copy counts once anyway
+        for batch in batches:
+            rows, parts, numbers = [], [], []
+            for i, page in enumerate(texts(batch.column("html"))):
+                found, is_main = blocks(page)
+                number = xxhash.xxh3_64_intdigest(" ".join(found)) >> 1
+                if is_main and (batch.column("host")[i].as_py(), number) not in seen:
+                    seen.add((batch.column("host")[i].as_py(), number))
+                    rows.append(i), parts.append(found), numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(rows, pa.int32())), pa.array(numbers, pa.int64()),
+                                              pa.array(parts, pa.list_(pa.string()))], ["host", "stream", "parts"])
+
     def settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for page in texts(batch.column("html")):
+            for page, common in zip(texts(batch.column("html")), batch.column("runs"), strict=True):
                 parts, is_main = blocks(page)
-                found.append("\n".join(parts) if is_main or not parts else None)
+                if is_main and common.is_valid:
+                    tokens = _stream(parts)
+                    run = run_hashes(tokens, np.arange(max(len(tokens) - least + 1, 0)), least).view(np.int64)
+                    held = np.append(np.isin(run, common.values.to_numpy()), np.zeros(len(tokens) - len(run), dtype=bool))
+                    found.append(without_repeats(parts, _covered(np.ones(1, dtype=bool), np.where(held, 0, -1), least)))
+                else:
+                    found.append("\n".join(parts) if is_main or not parts else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(found, pa.string())], ["id", "url", "text"])
 
     def left_open(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +407,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 ["id", "url", "host", "stream", "parts", "n"])
 
     kinds = dict(source.dtypes)
-    done = source.mapInArrow(settled, f"id {kinds['id']}, url string, text string")
-    waiting = stored(source.withColumn("host", host(F.col("url"))).mapInArrow(
+    hosted = source.withColumn("host", host(F.col("url")))
+    sizes = hosted.groupBy("host").agg(F.sum(F.length("html")).alias("chars"))
+    common = common_runs(hosted.mapInArrow(streams, "host string, stream long, parts array<string>"), sizes, least, chunk_chars)
+    done = hosted.join(common, "host", "left").select("id", "url", "html", "runs").mapInArrow(
+        settled, f"id {kinds['id']}, url string, text string")
+    waiting = stored(hosted.mapInArrow(
         left_open, f"id {kinds['id']}, url string, host string, stream long, parts array<string>, n long"), "open-pages")
     waiting = stored(waiting.withColumn("row", F.monotonically_increasing_id()), "open-rows")
     folded = waiting.groupBy("host", "stream").agg(F.min("row").alias("row"))

@@ -88,6 +88,25 @@ def test_runs_that_distinct_pages_share_go(spark):
     assert pages.main_text(frame.limit(0)).count() == 0
 
 
+def test_runs_on_nearly_every_page_of_a_host_go_from_articles_too(spark):
+    rng = np.random.default_rng(5)
+    notice, passage = [f"n{i}" for i in range(9)], [f"p{i}" for i in range(12)]
+    rows, want = [], {}
+    for i in range(40):
+        own = [f"w{i}x{j}" for j in range(rng.integers(1, 30))]
+        body = own + (passage if i % 3 else [])  # two thirds share a passage, which is theirs
+        rows.append((i, f"http://one.example/{i}", f"<article><p>{' '.join(body)}</p><div>{' '.join(notice)}</div></article>"))
+        want[i] = " ".join(body)
+    for i in range(40, 60):  # of nine pages, and of twenty copies of one, all stays
+        text = " ".join(notice + [f"v{i}"] * (i < 49))
+        rows.append((i, f"http://{'few' if i < 49 else 'copies'}.example/{i}", f"<main>{text}</main>"))
+        want[i] = text
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for chunk in (10**6, 2000):  # one suffix array for the host, and many
+        found = {r.page_id: r.text for r in pages.main_text(frame, chunk_chars=chunk).collect()}
+        assert found == want
+
+
 def split(url):
     if url is None or "://" not in url:
         return "", ""
