@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -205,6 +206,48 @@ def test_dense_keys_are_compared_in_blocks(spark, monkeypatch):
     assert len(pairs) > 1000 and found == {d: (first[component[t.strip()]], degree[t.strip()]) for d, t in enumerate(texts)}
 
 
+def test_lines_with_dense_keys_stand_in_one_block_each(spark, monkeypatch):
+    """Lines are not copied for each of their keys: blocks with a key in common meet once, however many keys they share."""
+    monkeypatch.setattr(lines, "_BLOCK", 16)
+    rng = random.Random(2)
+    rows = [(place, 50, [7, *rng.sample(range(100, 140), 8)], [7, *rng.sample(range(100, 140), 5)] if place % 3 else None) for place in range(120)]
+    rows += [(place, 50, None if place % 2 else [9], [9]) for place in range(200, 230)]
+    dense = spark.createDataFrame(rows, "place long, size int, dense_probes array<long>, dense_segments array<long>")
+    placed = lines._blocks(dense).collect()
+    block = {r.place: r.block for r in placed}
+    assert len(placed) == len(block) == len(rows) and 8 <= len(set(block.values())) <= 12
+    met = [tuple(r) for r in lines._met_blocks(dense.join(spark.createDataFrame(list(block.items()), "place long, block long"), "place")).collect()]
+    want = {tuple(sorted((block[p], block[q]))) for p, _, probes, _ in rows for q, _, _, segments in rows if set(probes or ()) & set(segments or ())}
+    assert len(met) == len(set(met)) <= 2 * len(want) and {(a, b) for _, a, b in met} == want
+    assert all({x for x, *pair in met if tuple(pair) == (a, b)} == {a, b} for a, b in want)
+
+
+def test_a_bucket_tells_each_chunk_its_pairs():
+    """Only lengths that go together, also where two bytes cannot tell a length, and no pair under a dense key."""
+    def row(part, n_index, entries):
+        keys, owners, sizes = (np.array(x) for x in zip(*entries))
+        return {"bucket": 0, "part": part, "chunk": 0, "n_index": n_index, "keys": keys.astype("<u4").tobytes(), "lines": owners.astype("<u4").tobytes(),
+                "sizes": sizes.astype("<u2").tobytes()}
+
+    top = lines._LONGEST
+    table = pa.Table.from_pylist([row(3, 4, [(5, 0, 200), (6, 1, 200), (8, 2, top), (9, 3, 200), (5, 0, 200), (8, 2, top)]),
+                                  row(1, 2, [(7, 0, 100), (9, 2, 200), (5, 1, 207), (6, 2, 208), (7, 3, 100), (8, 4, top), (9, 0, 200), (9, 5, 300)])])
+    told = {a["part"]: lines._told([a]) for batch in lines._met(table, 4, None) for a in batch.to_pylist()}
+    place = 3 << lines._PART
+    assert told[1][0].tolist() == [9] and told[3][0].tolist() == [9]
+    assert list(zip(told[1][2].tolist(), told[1][3].tolist())) == [(1, place), (3, 1 << lines._PART), (4, place | 2)]
+    assert told[1][1].tolist() == [0, 1, 2, 3, 4, 5] and told[3][1].tolist() == [0, 2, 3] and not len(told[3][2])
+
+
+def test_lines_longer_than_two_bytes_tell(spark):
+    rng = random.Random(12)
+    base = "x" + "".join(rng.choice("abcdefgh ") for _ in range(lines._LONGEST - 30)) + "y"
+    texts = [base, base + "z" * 60, base[:40000] + base[40090:], base[:300] + base[600:], base[:30000]]
+    found = {r.doc_id: (r.class_doc, r.n_links) for r in lines.line_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), None).collect()}
+    assert [lines.within(texts[i], texts[j], 127) for i, j in ((0, 1), (0, 2), (1, 2), (0, 3))] == [True, True, False, False]
+    assert found == {0: (0, 2), 1: (0, 1), 2: (0, 1), 3: (3, 0), 4: (4, 0)}
+
+
 def test_lines_dropped(spark, docs, edges, edge_rows):
     a, b = "this line is long enough to count here", "another line that is long enough too"
     rows = [(1, f"{a}\nhead\n{b}"), (2, f"head\n{a[:-1]}\nnothing like the others, all alone"), (3, f"{b}\n  {a}  "), (4, None), (5, ""), (6, "head")]
