@@ -1,15 +1,20 @@
 import math
+import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keepset.llm import chosen_path, lines
 from keepset.llm.components import components
+from keepset.llm.store import stored
+from keepset.session import materialize
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -294,3 +299,41 @@ def test_edits_grow_with_the_length(spark):
         a = "".join(rng.choice("abcd") for _ in range(400))
         b = edited(rng, a, edits + 15)
         assert lines.within(a, b, edits) == (distance(a, b) <= edits)
+
+
+def shuffle_files(spark) -> set[str]:
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {file for top in dirs for _, _, files in os.walk(top.getPath()) for file in files if file.startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, given = shuffle_files(spark), spark.conf.get(setting)
+    made = stored(sums, "left-behind"), materialize(sums)
+    assert spark.conf.get(setting) == given
+    for _ in range(100):  # the files go a little after the run
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and [table.count() for table in made] == [7, 7]
+    assert shuffle_files(spark) - before  # a run outside keeps its own
+
+
+def test_texts_are_told_for_pairs_that_may_be_linked_only(spark, monkeypatch):
+    rng, n = random.Random(9), 60
+    # every two of these share a segment, but only the first two are alike
+    tail = "the same last words of every one of these lines"
+    rows = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) + tail for _ in range(n)]
+    rows[1] = "?" + rows[0][1:]
+    found, asked = [], []
+    candidates, texts = lines._candidates, lines._texts
+    monkeypatch.setattr(lines, "_candidates", lambda *a: found.append(spark.createDataFrame((t := candidates(*a)).collect(), t.schema)) or t)
+    monkeypatch.setattr(lines, "_texts", lambda chunks, places: asked.extend(texts(chunks, places).collect()) or texts(chunks, places))
+    links = lines.line_links(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), None).collect()
+    key = {"%016X-%016X" % tuple(half & (1 << 64) - 1 for half in lines.key128(row)): row for row in rows}
+    assert [{key[r.u], key[r.v]} for r in links if r.v] == [set(rows[:2])]
+    held = found[0].where("other IS NULL").collect()
+    assert len(held) > 50 and all((r.text is not None) == (r.dense_probes is not None or r.dense_segments is not None) for r in held)
+    assert {(r.name, r.text) for r in asked} >= {(k, row) for k, row in key.items() if row in rows[:2]} and len(asked) < 20
+    assert all(key[r.name] == r.text for r in asked)
