@@ -337,3 +337,13 @@ def test_texts_are_told_for_pairs_that_may_be_linked_only(spark, monkeypatch):
     assert len(held) > 50 and all((r.text is not None) == (r.dense_probes is not None or r.dense_segments is not None) for r in held)
     assert {(r.name, r.text) for r in asked} >= {(k, row) for k, row in key.items() if row in rows[:2]} and len(asked) < 20
     assert all(key[r.name] == r.text for r in asked)
+
+
+def test_chunks_go_before_the_documents_are_joined(spark, docs, monkeypatch):
+    made, taken = [], lines._line_chunks
+    monkeypatch.setattr(lines, "_line_chunks", lambda *a: made.append(taken(*a)) or made[-1])
+    line = "a line that is long enough to take part in the join"
+    kept = lines.drop_repeated_lines(docs([(1, line + "\nfirst"), (2, line + "\nsecond"), (3, line + "!")]))
+    folder = made[0].inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert not os.path.exists(folder)
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: line + "\nfirst", 2: "second"}
