@@ -146,7 +146,8 @@ def with_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
             keys = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(np.unique(keys) for _, keys in _keys(urls))]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), group.column("chunk")[0].as_py())), pa.array(keys)], ["chunk", "key"])
 
-    answered = placed.select("chunk", "url").mapInArrow(ask, "chunk long, key long").join(counts, "key")
+    # neither side is broadcast: both grow with the input, and the sizes of their files say little about their rows
+    answered = placed.select("chunk", "url").mapInArrow(ask, "chunk long, key long").join(counts.hint("merge"), "key")
 
     def score(group: pa.Table, known: pa.Table) -> pa.Table:
         keys = known.column("key").to_numpy()

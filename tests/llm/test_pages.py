@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from keepset.llm import html as pages
 from keepset.llm import urls
@@ -179,3 +180,12 @@ def test_scores_against_counts_in_dictionaries(spark, monkeypatch):
     assert results[0] == results[1] and len(results[0]) == len(rows)
     for url, score in set(results[0]):
         assert abs(score - longhand(url.encode())) < 1e-9
+
+
+def test_counts_of_urls_are_not_broadcast(spark):
+    rows = [(i, f"http://a.example.{'com' if i % 2 else 'net'}/{lang}/{i}") for i in range(40) for lang in ("en", "de")]
+    pages_table = spark.createDataFrame(rows, "id long, url string").withColumn("accepted", F.col("id") % 2 == 0)
+    counts = urls.gram_counts(pages_table)
+    scored = urls.with_scores(pages_table, counts)
+    assert "Broadcast" not in scored._jdf.queryExecution().sparkPlan().toString()
+    assert scored.count() == len(rows)
