@@ -318,3 +318,24 @@ def test_packed_points_keep_ids_of_any_kind(spark):
         df = spark.createDataFrame(rows, "id string, x double, y double").withColumn("id", F.col("id").cast(kind))
         found = sorted(bytes(r["id"]) if kind == "binary" else r["id"].encode() for r in M.pam_medoids(df, "id", XY, 2).collect())
         assert found == [b"a", b"z"]
+
+
+def test_kept_ids_join_without_moving_the_base_table(spark, cloud):
+    kept = M.pam_medoids(cloud, "id", ["a", "b", "c"], 3)
+    small = reduced_set(cloud, kept, "id")
+    plan = small._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    ids = {r.id for r in kept.collect()}
+    want = {i: min(tuple(r)[1:] for r in cloud.collect() if r.id == i) for i in ids}
+    assert {r.id: tuple(r)[1:] for r in small.collect()} == want and len(ids) == 3
+
+
+def test_points_are_not_held_in_memory_between_passes(spark, cloud, monkeypatch):
+    levels, kind = [], type(cloud)
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda self, level: levels.append(level) or persist(self, level))
+    monkeypatch.setattr(M, "SEEDS_PER_WRITE", 2)
+    assert M.pam_medoids(cloud, "id", ["a", "b", "c"], 7).count() == 7
+    points = prepared_points(cloud, "id", ["a", "b", "c"])
+    M.farthest_point(points, 7, candidates=2)
+    assert len(levels) > 2 and not any(level.useMemory for level in levels)
